@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op10_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
