@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .simhash import op10_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
+    "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
