@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .packing import op5_best_fit_packing
+from .pii import op9_pii
 from .simhash import op10_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
+    "op9_pii": op9_pii,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
