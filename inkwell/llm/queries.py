@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .maxscore import OP2_SQL, op2_maxscore_topk
 from .packing import op5_best_fit_packing
 from .pii import op9_pii
+from .quality import op4_quality
 from .simhash import op10_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
-    "op9_pii": op9_pii,
+    "op2_maxscore_topk": op2_maxscore_topk,
+    "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_maxscore_topk": OP2_SQL,
+}
