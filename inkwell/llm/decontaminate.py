@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,27 +170,31 @@ def _scan(box, last: bool):
     return run
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, matches array<struct<item_id string, start, length>> in words, one row for each row of docs.
-
-    Texts are compared as words in lower case (A-Z only) of digits, letters and all characters beyond ASCII. A match
-    is an occurrence of `window` words in a row of an item, or of a whole item with fewer. Null or wordless texts
-    have no words and no matches. Rows of one item_id are one item; a null item_id counts as the empty string.
-    Repeated documents are each searched; other columns are not returned (but for the text, with keep_text).
-    """
-    spark = docs.sparkSession
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block: int, keep_text: bool) -> DataFrame:
+    """rows, with their column text only if asked for, and n_words and matches added; one pass for each block."""
+    spark = rows.sparkSession
     ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block + 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text")
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
         box = spark.sparkContext.broadcast(Queries([(r.item_id, r.text) for r in part.collect()], window))
         last = i == blocks - 1 and not keep_text
-        out = out.mapInArrow(_scan(box, last), f"doc_id {kind}, {'' if last else 'text string, '}n_words long, matches array<struct<item_id: string, start: long, length: long>>")
-    return out
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("n_words", "matches") and not (last and f.name == "text")]
+        rows = rows.mapInArrow(_scan(box, last), f"{', '.join(kinds)}, n_words long, matches array<struct<item_id: string, start: long, length: long>>")
+    return rows
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_words, matches array<struct<item_id string, start, length>> in words, one row for each row of docs.
+
+    Texts are compared as words in lower case (A-Z only) of digits, letters and all characters beyond ASCII. A match
+    is an occurrence of `window` words in a row of an item, or of a whole item with fewer. Null or wordless texts
+    have no words and no matches. Rows of one item_id are one item; a null item_id counts as the empty string.
+    Repeated documents are each searched; other columns are not returned (but for the text, with keep_text).
+    """
+    return _searched(docs.select("doc_id", "text"), benchmark, window, block, keep_text)
 
 
 def covered_words(matches: str = "matches"):
@@ -209,3 +214,34 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = found.select("doc_id", "n_words", covered_words().alias("n_hit"), matched_items().alias("items"))
     n = F.size("items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, matches in enumerate(batch.column("matches").to_pylist()):
+            if matches:
+                data = np.frombuffer(texts[i].encode(), np.uint8)
+                _, begin, end, _, _ = words_of(data, np.array([0, len(data)]))
+                gone = np.zeros(len(data) + 1, np.int32)
+                for m in matches:
+                    gone[begin[m["start"]]] += 1
+                    gone[end[m["start"] + m["length"] - 1]] -= 1
+                texts[i] = data[np.cumsum(gone)[:-1] <= 0].tobytes().decode()
+        yield pa.record_batch({"row": batch.column("row"), "text": pa.array(texts, pa.string()), "cut": pc.greater(pc.list_value_length(batch.column("matches")), 0)})
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, contaminated: int = 2, block: int = BLOCK) -> DataFrame:
+    """docs without benchmark text; rows and columns stay as they are but for the following.
+
+    A document in which `contaminated` items or more occur goes; of the others, the words of every match, and what
+    stands between them, are cut out of the text, and n_chars follows it.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = _searched(rows, benchmark, window, block, True).where(F.size(matched_items()) < contaminated)
+    out = found.select("row", "text", "matches").mapInArrow(_cut, f"row {rows.schema['row'].dataType.simpleString()}, text string, cut boolean")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
