@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .html_template import op1_html_template
 from .maxscore import OP2_SQL, op2_maxscore_topk
 from .packing import op5_best_fit_packing
 from .pii import op9_pii
@@ -11,6 +12,7 @@ from .simhash import op10_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
+    "op1_html_template": op1_html_template,
     "op2_maxscore_topk": op2_maxscore_topk,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
