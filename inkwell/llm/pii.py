@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, ship
+from ._common import beside, pieces_of, rejoined, ship
 
 #: Order of the kinds in results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "url")
@@ -139,9 +139,11 @@ def _scan(mask: bool):
         for batch in pieces_of(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             spans = [find_spans(t) if t else [] for t in texts]
-            new = {} if not mask else {"masked": pa.array([masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())}
-            keep = [c for c in batch.schema.names if mask or c != "text"]
-            yield pa.record_batch({c: batch.column(c) for c in keep} | {"spans": pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], _SPANS)} | new)
+            rest = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            if mask:
+                yield pa.record_batch(rest | {"text": pa.array([masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())})
+            else:
+                yield pa.record_batch(rest | {"spans": pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], _SPANS)})
 
     return run
 
@@ -160,16 +162,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with every span of `text` replaced by its kind in brackets; columns and rows stay, n_chars follows the text."""
     ship(docs.sparkSession)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kind = docs.select(rest).schema["row"].dataType.simpleString()
-    out = docs.select(rest, "text").mapInArrow(_scan(True), f"row {kind}, text string, spans array<struct<kind: string, start: long, end: long>>, masked string")
-    new = {"text": F.col("masked"), "n_chars": F.when(F.col("text").isNull() | F.col("row.n_chars").isNull(), F.col("row.n_chars")).otherwise(F.length("masked").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("masked")}
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rows = beside(docs)
+    out = rows.mapInArrow(_scan(True), f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNull() | F.col("row.n_chars").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    return rejoined(out, docs.columns, **new)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -47,3 +47,15 @@ def test_tables(spark):
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), r.text and r.text[-7:], r.n_chars) for r in out.collect()) == [("1", "[EMAIL]", 12)] * 2 + [("3", "", 0), ("4", "[PHONE]", 80007), ("None", None, None)]
     assert P.find_pii(df.limit(0)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, "mail a@b.cc and 1.2.3.4, +1 (988) 555-2485 4111111111111111"), (2, None), (3, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in P.op9_pii(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        want = brute(t or "")
+        assert [got[i][f"n_{k}"] for k in P.BASE] == [sum(s[0] == k for s in want) for k in P.BASE]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
