@@ -1,6 +1,491 @@
-"""Named queries over the supplied tables, each with the SQL that must give the same rows."""
+"""Named queries over the supplied tables, each with the SQL that must give the same rows.
+
+Each query applies an operator of this package to whole tables. Floats are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as T
+from ..operators import answer, evaluate, guard, retrieve, search, store, wiki
+from ..sources import markup
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_pages(docs: DataFrame) -> DataFrame:
+    """Documents as wiki pages: the first line is the title."""
+    return docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body_text"), F.col("source").alias("space"), F.col("lang").alias("type"))
+
+
+# ---------------------------------------------------------------- identity
+
+
+@query("""
+SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1
+""")
+def exact_duplicates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, sha1(unhex('{ids.NAMESPACE}') || encode('doc:' || doc_id)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+  || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+FROM h
+""")
+def name_based_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ids.uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("uuid"))
+
+
+_KEY = b"a key for the tests"
+
+
+@query(f"""
+SELECT doc_id, sha256(unhex('{bytes(b ^ 0x5C for b in _KEY.ljust(64, bytes(1))).hex()}')
+  || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in _KEY.ljust(64, bytes(1))).hex()}') || encode(source || ':' || doc_id)))) AS mac FROM documents
+""")
+def keyed_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ids.hmac_sha256(_KEY, F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("mac"))
+
+
+# ---------------------------------------------------------------- masking
+
+
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[PERSON_EMAIL]', 'g')) AS sha FROM documents
+""")
+def mask_email(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(guard.mask_patterns("text", "email"), 256).alias("sha"))
+
+
+_IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+
+
+@query(rf"""
+SELECT doc_id, sha256(regexp_replace(text, '{_IP}', '[HOST_IPV4]', 'g')) AS sha FROM documents
+""")
+def mask_ipv4(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(guard.mask_patterns("text", "ipv4"), 256).alias("sha"))
+
+
+def _registry() -> guard.Registry:
+    out = guard.Registry()
+    out.add("Idiot SE", aliases=("clown",))
+    out.add("pathetic", kind="person")
+    out.add("The Apache License", kind="project")
+    return out
+
+
+@query(rf"""
+WITH e AS (SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', '[PERSON_EMAIL]', 'g') AS t FROM documents),
+  i AS (SELECT doc_id, regexp_replace(t, '{_IP}', '[HOST_IPV4]', 'g') AS t FROM e),
+  a AS (SELECT doc_id, regexp_replace(t, '(?i)\b(?:idiot-SE|idiot SE|idiot|clown)\b', 'CLIENT_A', 'g') AS t FROM i),
+  b AS (SELECT doc_id, regexp_replace(t, '(?i)\bpathetic\b', 'PERSON_01', 'g') AS t FROM a)
+SELECT doc_id, sha256(regexp_replace(t, '(?i)\bThe[ -]Apache[ -]License\b', 'PROJECT_01', 'g')) AS sha FROM b
+""")
+def gazetteer_mask(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(guard.mask("text", _registry().matcher()), 256).alias("sha"))
+
+
+@query(r"""
+SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:idiot|clown|pathetic)\b')) AS n FROM documents
+WHERE regexp_matches(text, '(?i)\b(?:idiot|clown|pathetic)\b')
+""")
+def protected_name_hits(spark, sf_dir):
+    found = guard.occurrences(table(spark, sf_dir, "documents"), _registry().matcher()).where("layer = 'gazetteer' and entity_id < 3")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(?:idiot-SE|idiot SE|idiot|clown|pathetic|The[ -]Apache[ -]License)\b')
+""")
+def leak_scan(spark, sf_dir):
+    return guard.leaking(table(spark, sf_dir, "documents"), _registry().matcher(), "text").select("doc_id")
+
+
+@query(r"""
+SELECT doc_id, len(regexp_extract_all(text, '\b[A-Z][A-Z0-9]{1,9}-\d{1,6}\b')) AS keys,
+  len(regexp_extract_all(text, '\b(?:[A-Z][\w.&''-]{1,20}\s+){1,3}(?:SE|AG|GmbH|PLC|NV|Ltd|Limited|Inc|LLC|BV|Oy|AB)\b')) AS entities
+FROM documents WHERE regexp_matches(text, '\b[A-Z][A-Z0-9]{1,9}-\d{1,6}\b') OR regexp_matches(text, '\b(?:[A-Z][\w.&''-]{1,20}\s+){1,3}(?:SE|AG|GmbH|PLC|NV|Ltd|Limited|Inc|LLC|BV|Oy|AB)\b')
+""")
+def candidates_for_review(spark, sf_dir):
+    none = guard.Registry().matcher()
+    found = guard.occurrences(table(spark, sf_dir, "documents"), none).where("status = 'candidate'")
+    return found.groupBy("doc_id").agg(F.count_if(F.col("rule") == "jira-key").alias("keys"), F.count_if(F.col("rule") == "legal-entity").alias("entities"))
+
+
+# ---------------------------------------------------------------- markup and text
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title FROM pages
+""")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", markup.html_title("html").alias("title"))
+
+
+_CLOSERS = r"(?i)<(?:br\s*/?|/(?:p|div|h[1-6]|li|tr|table|ul|ol|blockquote|pre|section))\s*>"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '{_CLOSERS}', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM pages),
+ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM a),
+ c AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM b)
+SELECT page_id, sha256(trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ')) AS sha FROM c
+""")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_to_text("html"), 256).alias("sha"))
+
+
+@query(r"""
+WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body\s*>|$)', 1) AS t FROM pages),
+ s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'),
+   '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', '', 'g') AS t FROM b)
+SELECT page_id, length(t) AS n, sha256(t) AS sha FROM s
+""")
+def html_sanitise(spark, sf_dir):
+    clean = table(spark, sf_dir, "pages").select("page_id", markup.sanitise("html").alias("t"))
+    return clean.select("page_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"))
+
+
+@query(None)
+def html_blocks(spark, sf_dir):
+    return markup.html_blocks(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")).select("doc_id", "title", F.posexplode("blocks").alias("i", "b")).select("doc_id", "i", "b.type", "b.text")
+
+
+@query(r"""
+SELECT lang, count(*) AS n, sum(CAST(ceil(length(text) / 3.0) AS BIGINT)) AS tokens, max(CAST(ceil(length(text) / 3.0) AS BIGINT)) AS longest FROM documents GROUP BY lang
+""")
+def token_estimates(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", T.token_estimate("text").alias("t"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"), F.max("t").alias("longest"))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '\.[^.]+$', ''), '[_+-]+', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages
+""")
+def titles_from_filenames(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.title_from_filename("url").alias("title"))
+
+
+@query(None)
+def chunk_documents(spark, sf_dir):
+    from ..operators import chunker
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), chunker.text_blocks("text").alias("blocks"))
+    return chunker.chunk_documents(docs).select("doc_id", "chunk_index", "chunk_id", "token_estimate", "overlap_tokens", "chunk_sha256")
+
+
+# ---------------------------------------------------------------- search
+
+_BM25 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+') || regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+ t AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'thntion')) AS a, len(list_filter(w, lambda x: x = 'inges')) AS b FROM w),
+ s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t),
+ r AS (SELECT doc_id, -(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl))
+   + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM t, s WHERE a > 0 OR b > 0)
+"""
+
+
+@query(_BM25 + "SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM r QUALIFY rank <= 50")
+def bm25_search(spark, sf_dir):
+    found = search.keyword_search(as_pages(table(spark, sf_dir, "documents")), "thntion OR inges", 50, stemmed=False)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_BM25 + "SELECT doc_id, round(score, 6) AS score FROM r")
+def postings_search(spark, sf_dir):
+    pages = as_pages(table(spark, sf_dir, "documents"))
+    index = search.postings(pages, stemmed=False)
+    sizes = pages.select((F.size(T.words("title")) + F.size(T.words("body_text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
+    found = search.search_postings(index, ["thntion", "inges"], sizes["n"], sizes["average"], every=False)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_GRAMS = r"""list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))"""
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(substr(text, 1, 4000)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x FROM documents),
+ g AS (SELECT doc_id, {_GRAMS} AS g FROM t),
+ q AS (SELECT {_GRAMS} AS q FROM (SELECT ' the thntion of inges ' AS x))
+SELECT doc_id, round(len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))), 6) AS similarity FROM g, q WHERE len(g) > 0
+""")
+def trigram_similarity(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.trigram_similarity("text", "The thntion of INGES", 4000).alias("s"), F.regexp_replace(F.lower(F.substring("text", 1, 4000)), "[^a-z0-9]+", "").alias("t"))
+    return rows.where("t <> ''").select("doc_id", F.round("s", 6).alias("similarity"))
+
+
+@query(r"""
+SELECT p_partkey, min(levenshtein(w, 'part 15')) AS edits FROM (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\s+')) AS w FROM part)
+WHERE levenshtein(w, 'part 15') <= 4 GROUP BY p_partkey
+""")
+def fuzzy_titles(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), r"\s+")).alias("w"))
+    near = words.withColumn("edits", T.edit_distance(F.col("w"), F.lit("part 15"))).where("edits <= 4")
+    return near.groupBy("p_partkey").agg(F.min("edits").cast("long").alias("edits"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
+ b AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
+ u AS (SELECT id, rank, 'price' AS mode FROM a UNION ALL SELECT id, rank, 'date' AS mode FROM b)
+SELECT id, round(sum(1.0 / (60 + rank)), 6) AS rrf, count(*) AS modes FROM u GROUP BY id
+""")
+def rank_fusion(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
+    a = search.ranked(orders, F.desc("o_totalprice"), F.asc("id"), limit=50, mode="price").select("id", "rank", "mode")
+    b = search.ranked(orders, F.desc("o_orderdate"), F.asc("id"), limit=50, mode="date").select("id", "rank", "mode")
+    return search.fuse([a, b]).select("id", F.round("rrf", 6).alias("rrf"), F.size("modes").cast("long").alias("modes"))
+
+
+@query("""
+SELECT doc_id, source AS space, lang AS type, substr(text, 1, 160) AS snippet FROM documents WHERE source = 'src3' AND lang = 'en'
+""")
+def filtered_pages(spark, sf_dir):
+    asked = search.parse_query('type:en space:"src3"')
+    rows = search.apply_filters(as_pages(table(spark, sf_dir, "documents")), asked.filters)
+    return rows.select(F.col("id").alias("doc_id"), "space", "type", F.substring("body_text", 1, 160).alias("snippet"))
+
+
+# ---------------------------------------------------------------- vectors
+
+_KNN = """
+WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT q.vec_id AS query_id, e.vec_id, q.label AS query_label, e.label, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+"""
+
+
+def _neighbours(spark, sf_dir) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieve.nearest_batch(vectors, asked, 10)
+
+
+@query(_KNN + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def exact_knn(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], list_resize([1.0::DOUBLE, -1.0, 0.5], len(embedding), 0.0)) AS score FROM embeddings WHERE label IN (1, 2))
+SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20
+""")
+def filtered_knn(spark, sf_dir):
+    vectors = retrieve.matching(table(spark, sf_dir, "embeddings"), {"label": [1, 2], "vec_id": None})
+    wide = vectors.withColumn("embedding", F.slice("embedding", 1, 3))
+    return retrieve.nearest(wide, [1.0, -1.0, 0.5], 20, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN + """, f AS (SELECT query_id, min(rank) AS first FROM r WHERE label = query_label AND rank <= 10 GROUP BY query_id),
+ i AS (SELECT vec_id, first FROM q LEFT JOIN f ON f.query_id = q.vec_id)
+SELECT count(*) AS answerable, floor(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) * 1000 + 0.5) / 1000 AS recall_at_5,
+ floor(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) * 1000 + 0.5) / 1000 AS recall_at_10, floor(avg(coalesce(1.0::DOUBLE / first, 0)) * 1000 + 0.5) / 1000 AS mrr_at_10 FROM i
+""")
+def retrieval_quality(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    items = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.lit("answer").alias("type"), F.col("label").alias("mine"))
+    hits = _neighbours(spark, sf_dir).withColumnRenamed("query_id", "id").join(labels, "vec_id").join(items.select("id", "mine"), "id").select("id", "rank", (F.col("label") == F.col("mine")).alias("relevant"))
+    return evaluate.retrieval_metrics(hits, items)
+
+
+# ---------------------------------------------------------------- evaluation and answers
+
+
+@query("""
+WITH e AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, v[least(CAST(floor(len(v) * 0.5) AS BIGINT) + 1, len(v))] AS p50, v[least(CAST(floor(len(v) * 0.95) AS BIGINT) + 1, len(v))] AS p95 FROM e
+""")
+def floor_percentiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(F.collect_list("value").alias("v"))
+    return rows.select("event_type", T.floor_percentile(F.col("v"), 0.5).alias("p50"), T.floor_percentile(F.col("v"), 0.95).alias("p95"))
+
+
+@query("""
+SELECT d.lang, count(*) AS n, count(l.quality) AS labelled, round(avg(l.quality), 6) AS quality, round(avg(CASE WHEN l.quality = 1 THEN CAST(l.toxic AS DOUBLE) END), 6) AS toxic_share
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang
+""")
+def quality_by_lang(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    share = F.avg(F.when(F.col("quality") == 1, F.col("toxic").cast("double")))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 6).alias("quality"), F.round(share, 6).alias("toxic_share"))
+
+
+@query("""
+WITH c AS (SELECT *, ceil(length(text) / 3.0) + 20 AS cost FROM conversations),
+ s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c)
+SELECT conv_id, turn, role FROM s WHERE used <= 400 OR n = 1
+""")
+def conversation_context(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("rank", F.col("turn"))
+    return answer.fit_contexts(rows, 400, by=["conv_id"]).select("conv_id", "turn", "role")
+
+
+@query(r"""
+WITH a AS (SELECT event_id, 'see [' || (event_id % 7) || '] and [2, 4-6] or [' || (event_id % 3) || '–' || (event_id % 5) || '] ok' AS t FROM events),
+ m AS (SELECT event_id, event_id % 7 AS x, event_id % 3 AS lo, event_id % 5 AS hi FROM a)
+SELECT event_id, array_to_string(list_sort(list_distinct(list_filter([x, 2, 4, 5, 6] || range(lo, hi + 1), lambda i: i BETWEEN 1 AND 6))), ',') AS cited FROM m
+""")
+def cited_sources(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.concat(F.lit("see ["), (e % 7).cast("string"), F.lit("] and [2, 4-6] or ["), (e % 3).cast("string"), F.lit("–"), (e % 5).cast("string"), F.lit("] ok"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(answer.citations(text, 6)), ",").alias("cited"))
+
+
+@query(f"""
+SELECT role, count(*) AS n, count(*) FILTER (turn % 3 = 0) AS refused FROM conversations GROUP BY role
+-- a third of the turns is made to refuse: {answer.NOT_FOUND}
+""")
+def refusals(spark, sf_dir):
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f'  "{answer.NOT_FOUND}" '), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").withColumn("said", said).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(answer.refused("said")).alias("refused"))
+
+
+@query(r"""
+WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark),
+ d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+ n AS (SELECT item_id, count(*) AS words FROM b GROUP BY item_id),
+ o AS (SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (w) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, shared, words FROM o JOIN n USING (item_id) WHERE shared * 10 >= words * 9
+""")
+def benchmark_overlap(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words("text"))).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("w"))
+    shared = docs.join(items, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(items.groupBy("item_id").agg(F.count(F.lit(1)).alias("words")), "item_id").where("shared * 10 >= words * 9")
+
+
+# ---------------------------------------------------------------- the store's relational operators
+
+
+@query("""
+SELECT event_id, ts, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 200
+""")
+def audit_tail(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "event_type")
+
+
+_OLD = "SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END) AS sha FROM documents WHERE doc_id % 5 <> 1"
+
+
+@query(f"""
+WITH old AS ({_OLD}), new AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 7 <> 3)
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
+  CASE WHEN n.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' WHEN n.sha = o.sha THEN 'unchanged' ELSE 'changed' END AS change
+FROM new n FULL JOIN old o ON n.doc_id = o.doc_id
+""")
+def changed_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 <> 1").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise("")), 256).alias("sha"))
+    new = docs.where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return store.changes(old, new, "doc_id", ["sha"]).select("doc_id", "change")
+
+
+@query(f"""
+WITH old AS ({_OLD}), new AS (SELECT doc_id, sha256(text) AS sha FROM documents)
+SELECT new.doc_id, new.sha, old.doc_id IS NOT NULL AS reused FROM new LEFT JOIN old ON old.doc_id = new.doc_id AND old.sha = new.sha
+""")
+def reused_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 <> 1").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise("")), 256).alias("chunk_sha256"), F.lit("m").alias("model_key"), F.array(F.lit(1.0)).alias("vector"))
+    new = docs.select("doc_id", F.sha2("text", 256).alias("chunk_sha256"))
+    return store.reuse(new, old, "m").select("doc_id", F.col("chunk_sha256").alias("sha"), F.col("vector").isNotNull().alias("reused"))
+
+
+@query("""
+SELECT c_custkey, c_nationkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)
+""")
+def pages_with_tag(spark, sf_dir):
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("page_id"), F.lit("large").alias("name"))
+    pages = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    return search.apply_filters(pages, {"tag": "large"}, large).select(F.col("id").alias("c_custkey"), "c_nationkey")
+
+
+@query("""
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
+""")
+def stale_points(spark, sf_dir):
+    return store.without(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""
+SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus
+""")
+def status_counts(spark, sf_dir):
+    return store.count_by(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "status")
+
+
+@query("""
+SELECT n_nationkey AS id, n_name AS title, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS position, n_regionkey AS space FROM nation
+""")
+def renumbered_positions(spark, sf_dir):
+    pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("space"))
+    return wiki.renumber(pages, ["space"], ["title"]).withColumn("position", F.col("position").cast("long"))
+
+
+_TREE = "SELECT r_regionkey + 100 AS id, CAST(NULL AS BIGINT) AS parent_id FROM region UNION ALL SELECT n_nationkey, n_regionkey + 100 FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey FROM customer"
+
+
+@query(f"""
+WITH RECURSIVE p AS ({_TREE}), t AS (SELECT id, 0 AS depth FROM p WHERE id = 102 UNION ALL SELECT p.id, depth + 1 FROM p JOIN t ON p.parent_id = t.id)
+SELECT id, depth FROM t
+""")
+def page_subtree(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 100).cast("long").alias("parent_id"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("parent_id"))
+    return wiki.subtree(regions.unionByName(nations).unionByName(customers), 102)
+
+
+@query(r"""
+WITH p AS (SELECT n_nationkey AS id, n_name AS title, 'see [[' || lower(r_name) || ']] and [[ ' || n_name || ' ]] or [[none]]' AS body FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT r_regionkey + 100, r_name, '' FROM region),
+ l AS (SELECT DISTINCT id AS src_page_id, trim(unnest(regexp_extract_all(body, '\[\[([^\[\]]{1,120})\]\]', 1))) AS dst_title FROM p)
+SELECT l.src_page_id, l.dst_title, p.id AS dst_page_id FROM l LEFT JOIN p ON lower(p.title) = lower(l.dst_title)
+""")
+def wiki_links(spark, sf_dir):
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    body = F.concat(F.lit("see [["), F.lower("r_name"), F.lit("]] and [[ "), F.col("n_name"), F.lit(" ]] or [[none]]"))
+    pages = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), body.alias("body_text"))
+    pages = pages.unionByName(region.select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.col("r_name").alias("title"), F.lit("").alias("body_text")))
+    return wiki.links(pages)
+
+
+@query("""
+WITH e AS (SELECT *, event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS new FROM events)
+SELECT event_id, user_id, CAST(sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS section FROM e
+""")
+def sections(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.coalesce(F.col("event_type") != F.lag("event_type").over(w), F.lit(True)).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", new.alias("new")).select("event_id", "user_id", F.sum("new").over(w).alias("section"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_quantity AS size, sum(l_linenumber) AS weight FROM lineitem GROUP BY l_suppkey, l_quantity)
+SELECT l_suppkey, size FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, size) = 1
+""")
+def weighted_mode(spark, sf_dir):
+    return store.weighted_mode(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", F.col("l_linenumber")).select("l_suppkey", F.col("l_quantity").alias("size"))
