@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.text import col, squash
 from ..operators.chunker import BLOCK
 
-#: The references that are decoded (fixed values), besides numeric ones.
+# The named references that are decoded.
 ENTITIES = dict(
-    amp="&", lt="<", gt=">", quot='"', apos="'", nbsp=" ", copy="©", reg="®", trade="™", hellip="…", mdash="—", ndash="–", lsquo="‘", rsquo="’",
-    ldquo="“", rdquo="”", bdquo="„", laquo="«", raquo="»", bull="•", middot="·", deg="°", euro="€", sect="§", times="×", rarr="→",
+    amp="&", lt="<", gt=">", quot='"', apos="'", nbsp=" ", ndash="–", mdash="—", lsquo="‘", rsquo="’", ldquo="“", rdquo="”", hellip="…",
+    bull="•", middot="·", euro="€", copy="©", reg="®", trade="™", deg="°", laquo="«", raquo="»", times="×", rarr="→", larr="←", shy="",
 )
-_REFERENCE = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);")
+_REFERENCE = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);")
 
 
 def decode_entities(text: str) -> str:
@@ -27,7 +27,7 @@ def decode_entities(text: str) -> str:
     def one(m: re.Match) -> str:
         name = m[1]
         if name[0] != "#":
-            return ENTITIES.get(name, m[0])
+            return ENTITIES.get(name.lower(), m[0])
         code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
         return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
