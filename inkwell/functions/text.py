@@ -123,7 +123,7 @@ def html_to_text(c: str | Column) -> Column:
     for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(ref), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def title_from_filename(c: str | Column) -> Column:
