@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 
 #: Python workers must be able to import this package; on a cluster ship it with --py-files.
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Arrow batches that a Python worker holds, unless the session says otherwise: they bound its memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+#: Workers are reused from job to job: with these, large arrays go back to the system when they are freed.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where they share a file system with the driver."""
+    """Let Python workers find this package where they share a file system with the driver, and keep batches small."""
+    for key, (usual, small) in BATCHES.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, small)
     env = spark.sparkContext.environment
+    for key, value in MEMORY.items():
+        env.setdefault(key, value)
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
@@ -65,6 +74,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, column: str = "text") -> DataFrame:
+    """row (a struct of the other columns of docs), and the column: text crosses to Python once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != column]).alias("row"), column)
+
+
+def rejoined(out: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of docs again, some of them new."""
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def row_key(doc_id: str | Column, text: str | Column) -> Column:
     """64-bit key of a row. Rows that agree in id and text are copies and get the same answer from every operator."""
     return F.xxhash64(doc_id, text)

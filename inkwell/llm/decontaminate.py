@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, ship, text_bytes
+from ._common import beside, pieces_of, rejoined, ship, text_bytes
 from .suffix_dedup import _power_tables
 
 #: Bytes of benchmark text in a block, which is what a task holds of it at a time.
@@ -157,7 +157,7 @@ def _scan(box, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = box.value
-        for batch in pieces_of(batches, "text", 2 << 20):
+        for batch in pieces_of(batches, "text", 1 << 20):
             index = PositionalIndex(*text_bytes(batch.column("text")), queries.vocabulary, queries.window)
             matches: list = [[] for _ in range(len(batch))]
             for doc, at, w in queries.search(index):
@@ -238,10 +238,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, contami
     A document in which `contaminated` items or more occur goes; of the others, the words of every match, and what
     stands between them, are cut out of the text, and n_chars follows it.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    rows = beside(docs)
     found = _searched(rows, benchmark, window, block, True).where(F.size(matched_items()) < contaminated)
     out = found.select("row", "text", "matches").mapInArrow(_cut, f"row {rows.schema['row'].dataType.simpleString()}, text string, cut boolean")
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rejoined(out, docs.columns, **new)

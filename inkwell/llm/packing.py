@@ -24,7 +24,7 @@ from .suffix_dedup import _power_tables
 #: Pieces in a task that numbers them.
 SLICE = 100_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -37,7 +37,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class HashTable:
     """Numbers of 64-bit hashes in order of their addition; open addressing over arrays, for many keys at a time."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.keys, self.values, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -56,7 +56,12 @@ class HashTable:
         return out
 
     def add(self, h: np.ndarray) -> None:
-        """Different keys that are not known yet."""
+        """Different keys that are not known yet; the arrays grow so that half of them stays free."""
+        if 2 * (self.size + len(h)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            known = self.keys[used[np.argsort(self.values[used])]]
+            self.__init__((4 * (self.size + len(h))).bit_length())
+            self.add(known)
         mask = len(self.keys) - 1
         at, number = (h & np.uint64(mask)).astype(np.int64), np.arange(self.size, self.size + len(h), dtype=np.int32)
         self.size += len(h)

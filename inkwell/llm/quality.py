@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, ship, text_bytes
+from ._common import beside, pieces_of, rejoined, ship, text_bytes
 from .suffix_dedup import _power_tables
 
 #: Labelled documents that a model is fitted on at most; those of least hash are taken.
@@ -209,17 +209,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(x[order], y[order])
 
 
-def _score(box):
+def _score(box, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", 1 << 20):
             score = box.value.score(statistics(*text_bytes(batch.column("text"))))
-            yield pa.record_batch({c: batch.column(c) for c in batch.schema.names if c != "text"} | {"score": pa.array(score)})
+            yield pa.record_batch({c: batch.column(c) for c in batch.schema.names if keep_text or c != "text"} | {"score": pa.array(score)})
 
     return run
 
 
-def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
-    """row (a struct of the columns of docs), score: how likely the text has label 1, 0 to 1.
+def score_documents(docs: DataFrame, model: Trees, keep_text: bool = False) -> DataFrame:
+    """row (a struct of the other columns of docs), text if asked for, score: how likely the text has label 1, 0 to 1.
 
     Only the text is an input. Null texts count as empty, which is scored like any other; texts of any length are
     read whole. Rows, repeated ones too, keep their number; an empty table gives an empty table. With no labels, or
@@ -227,8 +227,9 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = beside(docs)
+    box = spark.sparkContext.broadcast(model)
+    return rows.mapInArrow(_score(box, keep_text), f"row {rows.schema['row'].dataType.simpleString()}, {'text string, ' if keep_text else ''}score double")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
@@ -240,5 +241,5 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted to have label 0."""
-    scored = score_documents(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD)
-    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    scored = score_documents(docs, train(docs, labels), True).where(F.col("score") >= THRESHOLD)
+    return rejoined(scored, docs.columns, text=F.col("text"))

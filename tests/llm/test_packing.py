@@ -34,6 +34,14 @@ def test_ids_of_any_text(tokens, texts):
     same(tokens, texts)
 
 
+def test_hash_table_grows():
+    t = P.HashTable(4)
+    keys = np.random.default_rng(1).integers(1, 1 << 63, 5000).astype(np.uint64)
+    for part in np.array_split(keys, 7):
+        t.add(part)
+    assert np.array_equal(t.find(keys), np.arange(5000)) and (t.find(keys + np.uint64(1)) == -1).all()
+
+
 def test_bins_are_the_fullest():
     r = np.random.default_rng(2)
     for _ in range(50):

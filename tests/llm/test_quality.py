@@ -51,9 +51,9 @@ def test_held_out_accuracy_and_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, score double")
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(600)] + [(None, 1, 0), (5, None, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
     model = Q.train(docs, labels)
-    out = Q.score_documents(docs, model).collect()
+    out = Q.score_documents(docs, model, True).collect()
     assert len(out) == len(rows) and all(0 <= x.score <= 1 for x in out)
-    held = [x for x in out if x.row.doc_id is not None and x.row.doc_id < 600 and x.row.text != "tree" and zlib.crc32(str(x.row.doc_id).encode()) % 5 == 0]
+    held = [x for x in out if x.row.doc_id is not None and x.row.doc_id < 600 and x.text != "tree" and zlib.crc32(str(x.row.doc_id).encode()) % 5 == 0]
     assert np.mean([(x.score >= 0.3) == (x.row.doc_id % 4 > 0) for x in held]) > 0.97
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() < len(rows)
