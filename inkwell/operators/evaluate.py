@@ -96,3 +96,28 @@ def run_matrix(configs: dict[str, dict], run) -> dict[str, dict]:
 def as_tsv(results: dict[str, dict]) -> str:
     names = list(dict.fromkeys(k for r in results.values() for k in r))
     return "\n".join(["\t".join(["config", *names]), *("\t".join([c, *(json.dumps(r.get(k)) for k in names)]) for c, r in results.items())])
+
+
+def run(items: DataFrame, retrieve, ask, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, retrieval metrics, answer metrics) of golden items, which are few: one retrieval and one answer each.
+
+    retrieve(question, k) -> hits as a DataFrame; ask(hits, question) -> an Answer.
+    """
+    spark = items.sparkSession
+    hits, rows = None, []
+    for it in items.collect():
+        found = retrieve(it.question, k)
+        expect = F.lit(None).cast("array<struct<doc: string, section: string, page: int>>")
+        if it.expect:
+            expect = F.array(*[F.struct(F.lit(e.doc).alias("doc"), F.lit(e.section).alias("section"), F.lit(e.page).cast("int").alias("page")) for e in it.expect])
+        good = relevant(expect, F.col("filename"), F.col("doc_title"), F.col("heading_path"), F.col("text"), F.col("page_start"), F.col("page_end"))
+        one = found.select(F.lit(it.id).alias("id"), "rank", "chunk_id", good.alias("relevant"))
+        hits = one if hits is None else hits.unionByName(one)
+        a = ask(found, it.question)
+        right = {r.chunk_id for r in one.where("relevant").collect()}
+        cited = [c for c in a.citations if c["cited"]]
+        checked, grounded = groundedness(a.answer, {c["n"]: c["text"] for c in a.citations})
+        must = list(it.must_contain or ())
+        rows.append((it.id, it.type, a.answer, a.refused, a.uncited, len(cited), sum(c["chunk_id"] in right for c in cited), sum(m.lower() in a.answer.lower() for m in must), len(must), checked, grounded, int(a.seconds * 1000)))
+    results = spark.createDataFrame(rows, "id string, type string, answer string, refused boolean, uncited boolean, cited int, cited_relevant int, must_found int, must_total int, checked int, grounded int, total_ms int")
+    return results, retrieval_metrics(hits, items), answer_metrics(results)

@@ -247,7 +247,7 @@ def keyword_search(pages: DataFrame, raw: str, limit: int = LIMIT, stemmed: bool
     hits = apply_filters(counted, filters or {}, tags).where(holds)
     hits = hits.withColumn("score", bm25(tf, F.col("_dl"), stats["n"], stats["average"], [stats[f"d{i}"] for i in range(len(tf))]))
     wanted = sorted({w for p in asked.phrases for w in p["words"]})
-    top = ranked(hits, F.asc("score"), F.asc("id"), limit=limit, mode="strict")
+    top = ranked(hits, F.round("score", 9).asc(), F.asc("id"), limit=limit, mode="strict")
     return top.withColumn("snippet", snippet(wanted, stemmed)(F.coalesce("body_text", F.lit("")))).select(schema.columns)
 
 
@@ -314,7 +314,7 @@ def fuzzy_search(pages: DataFrame, raw: str, limit: int = LIMIT, filters: dict |
     start = F.greatest(at - 41, F.lit(0))
     window = F.concat(F.lit("…"), F.trim(F.substring(body, start + 1, at + 119 - start)), F.lit("…"))
     cut = F.when(at > 0, window).otherwise(F.substring(body, 1, 140))
-    return ranked(scored, F.desc("score"), F.asc("id"), limit=limit, mode="fuzzy").withColumn("snippet", cut)
+    return ranked(scored, F.round("score", 9).desc(), F.asc("id"), limit=limit, mode="fuzzy").withColumn("snippet", cut)
 
 
 def _near(word: str, edits: int = 2):

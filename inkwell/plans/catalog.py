@@ -208,7 +208,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1))
 """
 
 
-@query(_BM25 + "SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM r QUALIFY rank <= 50")
+@query(_BM25 + "SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank FROM r QUALIFY rank <= 50")
 def bm25_search(spark, sf_dir):
     found = search.keyword_search(as_pages(table(spark, sf_dir, "documents")), "thntion OR inges", 50, stemmed=False)
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -489,3 +489,84 @@ SELECT l_suppkey, size FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey
 """)
 def weighted_mode(spark, sf_dir):
     return store.weighted_mode(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", F.col("l_linenumber")).select("l_suppkey", F.col("l_quantity").alias("size"))
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text FROM documents WHERE lang = 'en'),
+ x AS (SELECT id, title, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, ' ' || trim(regexp_replace(lower(substr(text, 1, 4000)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS b FROM p),
+ g AS (SELECT id, title, {_GRAMS.replace("x", "t")} AS tg, {_GRAMS.replace("x", "b")} AS bg FROM x),
+ q AS (SELECT {_GRAMS} AS q FROM (SELECT ' the thntion of inges ' AS x)),
+ s AS (SELECT id, coalesce(len(list_intersect(tg, q)) / (len(tg) + len(q) - len(list_intersect(tg, q))), 0) * 2.0 + coalesce(len(list_intersect(bg, q)) / (len(bg) + len(q) - len(list_intersect(bg, q))), 0) * 0.6
+   + CASE WHEN len(list_filter(string_split_regex(lower(title), '\s+'), lambda w: levenshtein(w, 'thntion') <= 2 OR levenshtein(w, 'inges') <= 2)) > 0 THEN 0.8 ELSE 0 END AS score FROM g, q)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0.08 QUALIFY rank <= 50
+""".replace("lengtht", "length").replace("lengthb", "length"))
+def fuzzy_search(spark, sf_dir):
+    found = search.fuzzy_search(as_pages(table(spark, sf_dir, "documents")), "the thntion of inges", 50, {"type": "en"})
+    return found.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+SELECT coalesce(f.n_nationkey, n.n_nationkey) AS key, coalesce(f.v, n.n_name) AS value FROM nation n
+FULL JOIN (SELECT c_custkey AS n_nationkey, c_name AS v FROM customer WHERE c_custkey BETWEEN 20 AND 30) f ON f.n_nationkey = n.n_nationkey
+""")
+def upserted_settings(spark, sf_dir):
+    stored = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("value"))
+    fresh = table(spark, sf_dir, "customer").where("c_custkey between 20 and 30").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_name").alias("value"))
+    return store.upsert(stored, fresh, "key")
+
+
+@query("""
+SELECT DISTINCT o_custkey AS page_id, o_orderpriority AS name FROM orders
+""")
+def added_tags(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderpriority").alias("name"))
+    return wiki.add_tags(orders.where("page_id % 2 = 0").distinct(), orders)
+
+
+@query("""
+WITH s AS (SELECT doc_id, sha256(text) AS sha FROM documents), k AS (SELECT sha, min(doc_id) AS duplicate_of FROM s WHERE doc_id % 2 = 0 GROUP BY sha)
+SELECT s.doc_id, k.duplicate_of FROM s JOIN k USING (sha) WHERE s.doc_id % 2 = 1
+""")
+def duplicate_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_sha256"))
+    return store.duplicates(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id", "duplicate_of")
+
+
+@query("""
+SELECT c_custkey AS id, c_name AS name FROM customer
+""")
+def vault_round_trip(spark, sf_dir):
+    from ..operators import vault
+
+    sealed = vault.store(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical")), b"0" * 32)
+    return sealed.select(F.col("entity_id").alias("id"), vault.decrypt("iv", "tag", "ciphertext", b"0" * 32).alias("name"))
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS type, event_id % 3 = 0 AS refused, event_id % 5 = 0 AS uncited, event_id % 7 AS cited, least(event_id % 7, event_id % 2) AS rel,
+  event_id % 4 AS found, 3 AS total, 2 AS checked, event_id % 3 AS grounded, event_id % 1000 AS ms FROM events),
+ p AS (SELECT list_sort(list(ms)) AS v FROM r)
+SELECT count(*) AS items, count(*) FILTER (type = 'answer') AS answerable, count(*) FILTER (type = 'refuse') AS refuse_items,
+ floor(avg(CASE WHEN type = 'refuse' THEN CAST(refused AS DOUBLE) END) * 1000 + 0.5) / 1000 AS refusal_accuracy, floor(avg(CASE WHEN type = 'answer' THEN CAST(refused AS DOUBLE) END) * 1000 + 0.5) / 1000 AS false_refusal_rate,
+ floor(avg(CASE WHEN type = 'answer' THEN CAST(found = total AS DOUBLE) END) * 1000 + 0.5) / 1000 AS must_contain_all, floor(avg(CASE WHEN type = 'answer' THEN CAST(found AS DOUBLE) / total END) * 1000 + 0.5) / 1000 AS must_contain_share,
+ floor(sum(CASE WHEN type = 'answer' THEN rel END) / CAST(sum(CASE WHEN type = 'answer' THEN cited END) AS DOUBLE) * 1000 + 0.5) / 1000 AS citation_accuracy, floor(sum(grounded) / CAST(sum(checked) AS DOUBLE) * 1000 + 0.5) / 1000 AS groundedness,
+ floor(avg(CASE WHEN type = 'answer' AND NOT refused THEN CAST(uncited AS DOUBLE) END) * 1000 + 0.5) / 1000 AS uncited_rate,
+ (SELECT v[least(CAST(floor(len(v) * 0.5) AS BIGINT) + 1, len(v))] FROM p) AS total_ms_p50, (SELECT v[least(CAST(floor(len(v) * 0.95) AS BIGINT) + 1, len(v))] FROM p) AS total_ms_p95 FROM r
+""")
+def answer_quality(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.when(e % 4 == 0, "refuse").otherwise("answer").alias("type"), (e % 3 == 0).alias("refused"), (e % 5 == 0).alias("uncited"), (e % 7).alias("cited"), F.least(e % 7, e % 2).alias("cited_relevant"),
+        (e % 4).alias("must_found"), F.lit(3).alias("must_total"), F.lit(2).alias("checked"), (e % 3).alias("grounded"), (e % 1000).alias("total_ms"),
+    )
+    return evaluate.answer_metrics(rows)
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2
+""")
+def progress_by_hour(spark, sf_dir):
+    from ..streaming.ingest import progress
+
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return progress(rows, every="1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

@@ -207,3 +207,30 @@ def test_wiki(spark):
     assert seeded.count() == 3 and wiki.seed(seeded, seeded.where("title = 'Runbook'").select("space", "title", "body_html", "sensitivity"), "x").count() == 3
     assert wiki.migrate({"n": 0}, [1], {1: lambda t: {"n": 9}, 2: lambda t: {"n": t["n"] + 1}}) == ({"n": 1}, [1, 2])
     assert {r.key: r.value for r in wiki.set_setting(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), "a", "3").collect()} == {"a": "3", "b": "2"}
+
+
+def test_sinks_and_runs(spark, tmp_path, registry):
+    from inkwell.operators import sinks
+
+    m = registry.matcher()
+    pages = sinks.import_pages(spark.createDataFrame([], wiki.PAGE), source(spark, a="# Contoso plan\n\nText by Contoso.").select("filename", "content"), "release", "2026-01-01 00:00:00").cache()
+    row = pages.first()
+    assert row.title == "Contoso plan" and row.body_text.split() == "Contoso plan Text by Contoso.".split() and row.type == "source-capture"
+    sinks.export_html(pages, m, str(tmp_path / "out"))
+    text = spark.read.text(str(tmp_path / "out")).first()[0]
+    assert "<title>CLIENT_A plan</title>" in text and "ontoso" not in text
+    from pyspark.sql import functions as F
+
+    with pytest.raises(sinks.Closed):
+        sinks.masked_html(pages.withColumn("sensitivity", F.lit("Restricted")), m)
+    events = sinks.audit(spark.createDataFrame([("1", "a", "x")], "ts string, action string, detail string"), "page.export", "CLIENT_A plan", "2")
+    assert [r.action for r in sinks.tail(events, 1).collect()] == ["page.export"]
+    store = Store(spark, f"file://{tmp_path}/store")
+    ingest(store, source(spark, cut="# Cutover\n\nThe cutover window starts at nine on Sunday."), registry, KEY, embed.HashedWords)
+    (tmp_path / "g.jsonl").write_text('{"id": "q1", "question": "When does the cutover window start?", "expect": [{"doc": "cutover"}], "must_contain": ["nine"]}\n{"id": "q2", "question": "Who is the king of France?", "type": "refuse"}\n')
+    find = lambda q, k: retrieve.retrieve(store.read("chunks"), store.read("vectors"), store.read("documents"), q, embed.HashedWords(), m, k)
+    results, found, said = evaluate.run(evaluate.load_golden(spark, str(tmp_path / "g.jsonl")), find, lambda hits, q: answer.ask(hits, q, answer.Extractive(), m))
+    assert found.first().recall_at_5 == 1.0 and found.first().mrr_at_10 == 1.0
+    assert (said.first().refusal_accuracy, said.first().false_refusal_rate, said.first().must_contain_all, said.first().citation_accuracy) == (1.0, 0.0, 1.0, 1.0)
+    sinks.write_results(said, results, str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run/results")).count() == 2
