@@ -24,7 +24,7 @@ from .suffix_dedup import _power_tables
 #: Pieces in a task that numbers them.
 SLICE = 100_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
