@@ -106,7 +106,7 @@ def run(items: DataFrame, retrieve, ask, k: int = 10) -> tuple[DataFrame, DataFr
     spark = items.sparkSession
     hits, rows = None, []
     for it in items.collect():
-        found = retrieve(it.question, k)
+        found = retrieve(it.question, k).persist()  # k rows, used four times
         expect = F.lit(None).cast("array<struct<doc: string, section: string, page: int>>")
         if it.expect:
             expect = F.array(*[F.struct(F.lit(e.doc).alias("doc"), F.lit(e.section).alias("section"), F.lit(e.page).cast("int").alias("page")) for e in it.expect])
