@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,38 +151,69 @@ class Queries:
         return out
 
 
-def _scan(box, last: bool):
+def _scan(box, keep_text: bool):
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: Queries = box.value
         for batch in pieces_of(batches, "text", 1 << 20):
-            index = PositionalIndex(*text_bytes(batch.column("text")), queries.vocabulary, queries.window)
-            matches: list = [[] for _ in range(len(batch))]
-            for doc, at, w in queries.search(index):
-                matches[doc] += [{"item_id": name, "start": at, "length": len(queries.words[w])} for name in queries.items[w]]
-            if "matches" in batch.schema.names:
-                matches = [a + b for a, b in zip(batch.column("matches").to_pylist(), matches, strict=True)]
-            keep = [c for c in batch.schema.names if c not in ("matches", "n_words") and not (last and c == "text")]
+            index, matches = _matched(box.value, batch)
+            keep = [c for c in batch.schema.names if c not in ("matches", "n_words") and (keep_text or c != "text")]
             yield pa.record_batch({c: batch.column(c) for c in keep} | {"n_words": pa.array(index.n_words, pa.int64()), "matches": pa.array(matches, kind)})
 
     return run
 
 
-def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block: int, keep_text: bool) -> DataFrame:
-    """rows, with their column text only if asked for, and n_words and matches added; one pass for each block."""
+def _matched(queries: Queries, batch: pa.RecordBatch) -> tuple[PositionalIndex, list[list[dict]]]:
+    """The shard of a batch, and each text's matches, those of earlier blocks included."""
+    index = PositionalIndex(*text_bytes(batch.column("text")), queries.vocabulary, queries.window)
+    matches: list = [[] for _ in range(len(batch))]
+    for doc, at, w in queries.search(index):
+        matches[doc] += [{"item_id": name, "start": at, "length": len(queries.words[w])} for name in queries.items[w]]
+    if "matches" in batch.schema.names:
+        matches = [a + b for a, b in zip(batch.column("matches").to_pylist(), matches, strict=True)]
+    return index, matches
+
+
+def _cut(box, contaminated: int):
+    """The last block's pass: rows of fewer items than `contaminated`, without the words of their matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", 1 << 20):
+            index, matches = _matched(box.value, batch)
+            data, off = text_bytes(batch.column("text"))
+            texts = batch.column("text").to_pylist()
+            for i in (i for i, m in enumerate(matches) if m):
+                gone = np.zeros(off[i + 1] - off[i] + 1, np.int32)
+                for m in matches[i]:
+                    first = index.head[i] + m["start"]
+                    gone[index.begin[first] - off[i]] += 1
+                    gone[index.end[first + m["length"] - 1] - off[i]] -= 1
+                texts[i] = data[off[i] : off[i + 1]][np.cumsum(gone)[:-1] <= 0].tobytes().decode()
+            stay = pa.array([len({m["item_id"] for m in own}) < contaminated for own in matches], pa.bool_())
+            yield pa.record_batch({"row": batch.column("row"), "text": pa.array(texts, pa.string()), "cut": pa.array([bool(m) for m in matches], pa.bool_())}).filter(stay)
+
+    return run
+
+
+_MATCHES = "n_words long, matches array<struct<item_id: string, start: long, length: long>>"
+
+
+def _blocks(rows: DataFrame, benchmark: DataFrame, window: int, block: int) -> tuple[DataFrame, object]:
+    """rows with the matches of all blocks of the benchmark but the last, and the last block, broadcast."""
     spark = rows.sparkSession
     ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // block + 1
+    blocks = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block + 1
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
         box = spark.sparkContext.broadcast(Queries([(r.item_id, r.text) for r in part.collect()], window))
-        last = i == blocks - 1 and not keep_text
-        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("n_words", "matches") and not (last and f.name == "text")]
-        rows = rows.mapInArrow(_scan(box, last), f"{', '.join(kinds)}, n_words long, matches array<struct<item_id: string, start: long, length: long>>")
-    return rows
+        if i < blocks - 1:
+            rows = rows.mapInArrow(_scan(box, True), f"{_kinds(rows, 'n_words', 'matches')}, {_MATCHES}")
+    return rows, box
+
+
+def _kinds(rows: DataFrame, *less: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in less)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
@@ -194,7 +224,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, bl
     have no words and no matches. Rows of one item_id are one item; a null item_id counts as the empty string.
     Repeated documents are each searched; other columns are not returned (but for the text, with keep_text).
     """
-    return _searched(docs.select("doc_id", "text"), benchmark, window, block, keep_text)
+    rows, box = _blocks(docs.select("doc_id", "text"), benchmark, window, block)
+    return rows.mapInArrow(_scan(box, keep_text), f"{_kinds(rows, 'n_words', 'matches', *([] if keep_text else ['text']))}, {_MATCHES}")
 
 
 def covered_words(matches: str = "matches"):
@@ -216,31 +247,14 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, matches in enumerate(batch.column("matches").to_pylist()):
-            if matches:
-                data = np.frombuffer(texts[i].encode(), np.uint8)
-                _, begin, end, _, _ = words_of(data, np.array([0, len(data)]))
-                gone = np.zeros(len(data) + 1, np.int32)
-                for m in matches:
-                    gone[begin[m["start"]]] += 1
-                    gone[end[m["start"] + m["length"] - 1]] -= 1
-                texts[i] = data[np.cumsum(gone)[:-1] <= 0].tobytes().decode()
-        yield pa.record_batch({"row": batch.column("row"), "text": pa.array(texts, pa.string()), "cut": pc.greater(pc.list_value_length(batch.column("matches")), 0)})
-
-
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, contaminated: int = 2, block: int = BLOCK) -> DataFrame:
     """docs without benchmark text; rows and columns stay as they are but for the following.
 
     A document in which `contaminated` items or more occur goes; of the others, the words of every match, and what
     stands between them, are cut out of the text, and n_chars follows it.
     """
-    rows = beside(docs)
-    found = _searched(rows, benchmark, window, block, True).where(F.size(matched_items()) < contaminated)
-    out = found.select("row", "text", "matches").mapInArrow(_cut, f"row {rows.schema['row'].dataType.simpleString()}, text string, cut boolean")
+    rows, box = _blocks(beside(docs), benchmark, window, block)
+    out = rows.mapInArrow(_cut(box, contaminated), f"row {rows.schema['row'].dataType.simpleString()}, text string, cut boolean")
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
