@@ -252,7 +252,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, keep_first: bool = False,
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select(row_key("doc_id", "text").alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
     members = written(base.mapInArrow(_members(window, gram), f"row long, doc_id {kind}, pos long, h1 long, h2 long"), "anchors")
-    values = members.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("n > 1").select("h1", (F.col("low") != F.col("high")).alias("mixed"))
+    values = members.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("n > 1")
+    # written, so that the join has an exchange on either side and can split a value that many regions share
+    values = written(values.select("h1", (F.col("low") != F.col("high")).alias("mixed")), "values")
     common = written(members.join(values, "h1"), "repeats")
     if keep_first:
         firsts = common.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("f")).select("h1", "h2", "f.row", "f.pos")
@@ -260,7 +262,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, keep_first: bool = False,
     else:
         full = common.where("not mixed").select("row", "pos")
     # one region of each class of a mixed value
-    classes = common.where("mixed").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("f"))
+    classes = written(common.where("mixed").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("f")), "classes")
     if not keep_first:
         many = classes.where("n > 1").select("h1", "h2")
         full = full.unionByName(common.where("mixed").join(many, ["h1", "h2"]).select("row", "pos"))
