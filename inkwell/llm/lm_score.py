@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, ship, text_bytes
+from ._common import pieces_of, ship, text_bytes, written
 from .decontaminate import words_of
 
 #: log2 of the vocabulary and of the bigram cells; the models take 2 * 4 * (2**WORDS + 2**PAIRS) bytes.
@@ -137,7 +137,10 @@ def cross_entropy_difference(docs: DataFrame, words: int = WORDS, pairs: int = P
 
 
 def op3_cross_entropy(spark, sf_dir: str) -> DataFrame:
-    """Target: documents that are labelled good and not toxic; background: all others."""
+    """Target: documents that are labelled good and not toxic; background: all others.
+
+    Labels are as many as documents may be, so they are joined by a shuffle at any size, once, into a table.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return cross_entropy_difference(docs.join(good, "doc_id", "left"))
+    return cross_entropy_difference(written(docs.join(good.hint("merge"), "doc_id", "left"), "targets"))
