@@ -31,9 +31,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray, n: int = 3, seed: int = 42) -> np.ndarray:
-    """Of texts in UTF-8: bit i is set if over half of the hashes of the word n-grams have it, repeats counted."""
-    out = np.zeros(len(off) - 1, np.uint64)
+def word_grams(data: np.ndarray, off: np.ndarray, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the word n-grams, repeats included, text after text, their number in each text) of texts in UTF-8.
+
+    A text of fewer than n words is one gram.
+    """
     low = data + ((data >= 0x41) & (data <= 0x5A)).astype(np.uint8) * np.uint8(32)
     word = ~_SPACE[low] if len(low) else np.zeros(0, bool)
     first = word.copy()
@@ -42,7 +44,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, n: int = 3, seed: int = 42)
     first[starts_of_text] = word[starts_of_text]
     begin = np.flatnonzero(first)
     if not len(begin):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     end = np.flatnonzero(last) + 1
@@ -55,13 +57,23 @@ def fingerprints(data: np.ndarray, off: np.ndarray, n: int = 3, seed: int = 42)
     joined[np.repeat(place[:-1] - begin, width) + ids] = low[ids]
     raw = joined.tobytes()
     doc = np.searchsorted(off, begin, side="right") - 1
-    words = np.bincount(doc, minlength=len(out))
+    words = np.bincount(doc, minlength=len(off) - 1)
     head = np.cumsum(words) - words
     grams = np.where(words > 0, np.maximum(1, words - n + 1), 0)
     gram_head = np.cumsum(grams) - grams
     i = np.repeat(head - gram_head, grams) + np.arange(grams.sum())
     j = i + np.minimum(n, np.repeat(words, grams)) - 1
     h = np.fromiter(map(_hasher(raw, seed), place[i].tolist(), (place[j] + width[j]).tolist()), np.uint64, len(i))
+    return h, grams
+
+
+def fingerprints(data: np.ndarray, off: np.ndarray, n: int = 3, seed: int = 42) -> np.ndarray:
+    """Of texts in UTF-8: bit i is set if over half of the hashes of the word n-grams have it, repeats counted."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    h, grams = word_grams(data, off, n, seed)
+    if not len(h):
+        return out
+    gram_head = np.cumsum(grams) - grams
     # sums of up to 255 bits fit a byte, eight counters to a word
     has = np.flatnonzero(grams)
     cuts = np.concatenate([np.arange(a, a + g, 255) for a, g in zip(gram_head[has].tolist(), grams[has].tolist(), strict=True)])
