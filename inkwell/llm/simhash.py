@@ -69,8 +69,12 @@ def word_grams(data: np.ndarray, off: np.ndarray, n: int, seed: int = 42) -> tup
 
 def fingerprints(data: np.ndarray, off: np.ndarray, n: int = 3, seed: int = 42) -> np.ndarray:
     """Of texts in UTF-8: bit i is set if over half of the hashes of the word n-grams have it, repeats counted."""
-    out = np.zeros(len(off) - 1, np.uint64)
-    h, grams = word_grams(data, off, n, seed)
+    return majority(*word_grams(data, off, n, seed))
+
+
+def majority(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The bits that over half of each text's hashes have; 0 for a text without hashes."""
+    out = np.zeros(len(grams), np.uint64)
     if not len(h):
         return out
     gram_head = np.cumsum(grams) - grams
@@ -243,10 +247,3 @@ def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id names their component, once each; rows without an id stay."""
-    groups = simhash_groups(docs.where("doc_id is not null"), radius)
-    named = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
