@@ -38,6 +38,8 @@ SHIFT = 12
 #: Positions are kept in the low bits of a packed minimum.
 LOW = np.uint64((1 << 24) - 1)
 CHUNK = 1 << 20
+#: Rows of two longs that may be broadcast.
+BROADCAST = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -265,6 +267,8 @@ def repeated_spans(docs: DataFrame, window: int = 400, keep_first: bool = False,
     classes = written(common.where("mixed").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("f")), "classes")
     if not keep_first:
         many = classes.where("n > 1").select("h1", "h2")
+        if many.count() <= BROADCAST:  # then regions stay where they are, however many share a value; else the join splits such a value
+            many = F.broadcast(many)
         full = full.unionByName(common.where("mixed").join(many, ["h1", "h2"]).select("row", "pos"))
     shards = classes.groupBy("h1").agg(F.count(F.lit(1)).alias("regions"))
     sized = written(classes.select("h1", "f.row", "f.pos").join(shards, "h1"), "shards")
@@ -326,7 +330,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep_first: bool = False, m
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("repeats"))
 
 
 def brute_force(texts: list[bytes], window: int) -> list[bytes]:
