@@ -86,8 +86,9 @@ def trigram_set(text: str) -> set[str]:
 def trigrams(c: str | Column) -> Column:
     """Different three-character strings of the text in lower case, padded by a space; all but [a-z0-9] is space."""
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " ")), F.lit(" "))
-    at = F.when(F.length(t) >= 3, F.sequence(F.lit(1), F.length(t) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(t, i, F.lit(3))))
+    # each offset's strings in one pass over the text: a substring by its place would count characters from the start
+    parts = [F.regexp_extract_all(F.substr(t, F.lit(i)), F.lit("..."), F.lit(0)) for i in (1, 2, 3)]
+    return F.array_distinct(F.concat(*parts))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -96,20 +97,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def trigram_similarity(c: str | Column, query: str, most: int | None = None) -> Column:
-    """Jaccard similarity of a column's trigrams and a query's, on Arrow batches: bulk sets are faster there."""
-    wanted = trigram_set(query)
-
-    @F.pandas_udf("double")
-    def similar(texts: pd.Series) -> pd.Series:
-        def one(t):
-            own = trigram_set((t or "")[:most])
-            both = len(own & wanted)
-            return both / (len(own) + len(wanted) - both) if own and wanted else 0.0
-
-        return texts.map(one).astype(float)
-
-    return similar(col(c))
+def trigram_similarity(c: str | Column, query: str) -> Column:
+    """Jaccard similarity of a column's trigrams and a query's; 0 for a null or a text without [a-z0-9]."""
+    wanted = sorted(trigram_set(query))
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
+    both = sum((F.contains(t, F.lit(g)).cast("int") for g in wanted), F.lit(0))
+    own = F.size(trigrams(F.coalesce(col(c), F.lit(""))))
+    return F.when(own > 0, both / (own + len(wanted) - both)).otherwise(F.lit(0.0)) if wanted else F.lit(0.0)
 
 
 def edit_distance(a: Column, b: Column) -> Column:

@@ -124,14 +124,39 @@ def leak_scan(spark, sf_dir):
     return guard.leaking(table(spark, sf_dir, "documents"), _registry().matcher(), "text").select("doc_id")
 
 
-@query(r"""
-SELECT doc_id, len(regexp_extract_all(text, '\b[A-Z][A-Z0-9]{1,9}-\d{1,6}\b')) AS keys,
-  len(regexp_extract_all(text, '\b(?:[A-Z][\w.&''-]{1,20}\s+){1,3}(?:SE|AG|GmbH|PLC|NV|Ltd|Limited|Inc|LLC|BV|Oy|AB)\b')) AS entities
-FROM documents WHERE regexp_matches(text, '\b[A-Z][A-Z0-9]{1,9}-\d{1,6}\b') OR regexp_matches(text, '\b(?:[A-Z][\w.&''-]{1,20}\s+){1,3}(?:SE|AG|GmbH|PLC|NV|Ltd|Limited|Inc|LLC|BV|Oy|AB)\b')
+# The patterns of the rules, in SQL. Conditions that exclude hits are left out where the texts have no such hits.
+_RULE_SQL = {
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "salesforce-id": r"\b00[a-zA-Z0-9]{13}(?:[A-Z0-5]{3})?\b",
+    "jira-key": r"\b[A-Z][A-Z0-9]{1,9}-\d{1,6}\b",
+    "legal-entity": r"\b(?:[A-Z][\w.&''-]{1,20}\s+){1,3}(?:SE|AG|GmbH|PLC|NV|Ltd|Limited|Inc|LLC|BV|Oy|AB)\b",
+    "internal-host": r"(?i)\b(?:[a-z0-9-]+\.)+(?:internal|intranet|local|corp|lan|test|dev|uat|sit|prod)\b",
+    "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "vat": r"(?i)\b(?:VAT|CUI|CIF|USt-IdNr\.?)[:\s]*[A-Z]{0,2}\d{6,12}\b",
+}
+# A note about each customer, with something for every rule.
+_NOTE = """'Ticket KEY' || c_nationkey || '-' || c_custkey || ' of Globex Trading GmbH, c' || c_custkey || '@mail.example.com, came from db' || c_nationkey || '.corp at 10.' || c_nationkey || '.3.' || (c_custkey % 256)
+ || ', IBAN DE89' || lpad(CAST(c_custkey AS STRING), 16, '0') || ', VAT: DE' || lpad(CAST(c_custkey AS STRING), 9, '0') || ', record 001A0000' || lpad(CAST(c_custkey AS STRING), 7, '0') || '; ' || c_name"""
+
+
+@query(f"""
+WITH t AS (SELECT c_custkey, {_NOTE} AS text FROM customer)
+SELECT c_custkey, {", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k.replace('-', '_')}" for k, p in _RULE_SQL.items())} FROM t
+""")
+def rule_hits(spark, sf_dir):
+    notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_NOTE).alias("text"))
+    found = guard.occurrences(notes, guard.Registry().matcher())
+    return found.groupBy(F.col("doc_id").alias("c_custkey")).agg(*[F.count_if(F.col("rule") == k).alias(k.replace("-", "_")) for k in _RULE_SQL])
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text || ' Ticket KEY-' || doc_id || ' for Globex Trading GmbH.' AS text FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, '{_RULE_SQL["jira-key"]}')) AS keys, len(regexp_extract_all(text, '{_RULE_SQL["legal-entity"]}')) AS entities FROM t
 """)
 def candidates_for_review(spark, sf_dir):
-    none = guard.Registry().matcher()
-    found = guard.occurrences(table(spark, sf_dir, "documents"), none).where("status = 'candidate'")
+    noted = F.concat("text", F.lit(" Ticket KEY-"), "doc_id", F.lit(" for Globex Trading GmbH."))
+    found = guard.occurrences(table(spark, sf_dir, "documents").select("doc_id", noted.alias("text")), guard.Registry().matcher()).where("status = 'candidate'")
     return found.groupBy("doc_id").agg(F.count_if(F.col("rule") == "jira-key").alias("keys"), F.count_if(F.col("rule") == "legal-entity").alias("entities"))
 
 
@@ -227,14 +252,14 @@ _GRAMS = r"""list_distinct(list_transform(range(1, length(x) - 1), lambda i: sub
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(substr(text, 1, 4000)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x FROM documents),
+WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x FROM documents),
  g AS (SELECT doc_id, {_GRAMS} AS g FROM t),
  q AS (SELECT {_GRAMS} AS q FROM (SELECT ' the thntion of inges ' AS x))
 SELECT doc_id, round(len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))), 6) AS similarity FROM g, q WHERE len(g) > 0
 """)
 def trigram_similarity(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.trigram_similarity("text", "The thntion of INGES", 4000).alias("s"), F.regexp_replace(F.lower(F.substring("text", 1, 4000)), "[^a-z0-9]+", "").alias("t"))
-    return rows.where("t <> ''").select("doc_id", F.round("s", 6).alias("similarity"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.trigram_similarity("text", "The thntion of INGES").alias("s"), F.lower("text").rlike("[a-z0-9]").alias("any"))
+    return rows.where("any").select("doc_id", F.round("s", 6).alias("similarity"))
 
 
 @query(r"""
@@ -387,20 +412,26 @@ def audit_tail(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "event_type")
 
 
-_OLD = "SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END) AS sha FROM documents WHERE doc_id % 5 <> 1"
+# What was stored before: labelled documents, those of poor quality with another text, and the benchmark, which is gone since.
+_OLD = """SELECT d.doc_id, sha256(d.text || CASE WHEN l.quality = 0 THEN 'x' ELSE '' END) AS sha FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+ UNION ALL SELECT -1 - item_id AS doc_id, sha256(text) AS sha FROM benchmark"""
+
+
+def _stored_before(spark, sf_dir) -> DataFrame:
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    old = labelled.select("doc_id", F.sha2(F.concat("text", F.when(F.col("quality") == 0, "x").otherwise("")), 256).alias("sha"))
+    return old.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.sha2("text", 256).alias("sha")))
 
 
 @query(f"""
-WITH old AS ({_OLD}), new AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 7 <> 3)
+WITH old AS ({_OLD}), new AS (SELECT doc_id, sha256(text) AS sha FROM documents)
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
   CASE WHEN n.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' WHEN n.sha = o.sha THEN 'unchanged' ELSE 'changed' END AS change
 FROM new n FULL JOIN old o ON n.doc_id = o.doc_id
 """)
 def changed_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 5 <> 1").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise("")), 256).alias("sha"))
-    new = docs.where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return store.changes(old, new, "doc_id", ["sha"]).select("doc_id", "change")
+    new = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return store.changes(_stored_before(spark, sf_dir), new, "doc_id", ["sha"]).select("doc_id", "change")
 
 
 @query(f"""
@@ -408,9 +439,8 @@ WITH old AS ({_OLD}), new AS (SELECT doc_id, sha256(text) AS sha FROM documents)
 SELECT new.doc_id, new.sha, old.doc_id IS NOT NULL AS reused FROM new LEFT JOIN old ON old.doc_id = new.doc_id AND old.sha = new.sha
 """)
 def reused_vectors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 5 <> 1").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise("")), 256).alias("chunk_sha256"), F.lit("m").alias("model_key"), F.array(F.lit(1.0)).alias("vector"))
-    new = docs.select("doc_id", F.sha2("text", 256).alias("chunk_sha256"))
+    old = _stored_before(spark, sf_dir).select("doc_id", F.col("sha").alias("chunk_sha256"), F.lit("m").alias("model_key"), F.array(F.lit(1.0)).alias("vector"))
+    new = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("chunk_sha256"))
     return store.reuse(new, old, "m").select("doc_id", F.col("chunk_sha256").alias("sha"), F.col("vector").isNotNull().alias("reused"))
 
 
@@ -424,10 +454,11 @@ def pages_with_tag(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)
 """)
 def stale_points(spark, sf_dir):
-    return store.without(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return store.without(table(spark, sf_dir, "customer").select("c_custkey"), large, "c_custkey")
 
 
 @query("""
@@ -520,16 +551,17 @@ SELECT DISTINCT o_custkey AS page_id, o_orderpriority AS name FROM orders
 """)
 def added_tags(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderpriority").alias("name"))
-    return wiki.add_tags(orders.where("page_id % 2 = 0").distinct(), orders)
+    stored = orders.groupBy("page_id").agg(F.min("name").alias("name"))
+    return wiki.add_tags(stored, orders)
 
 
 @query("""
-WITH s AS (SELECT doc_id, sha256(text) AS sha FROM documents), k AS (SELECT sha, min(doc_id) AS duplicate_of FROM s WHERE doc_id % 2 = 0 GROUP BY sha)
-SELECT s.doc_id, k.duplicate_of FROM s JOIN k USING (sha) WHERE s.doc_id % 2 = 1
+WITH s AS (SELECT doc_id, sha256(text) AS sha FROM documents), k AS (SELECT sha, min(doc_id) AS duplicate_of FROM s GROUP BY sha)
+SELECT s.doc_id, k.duplicate_of FROM s JOIN k USING (sha) WHERE s.doc_id <> k.duplicate_of
 """)
 def duplicate_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_sha256"))
-    return store.duplicates(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id", "duplicate_of")
+    return store.duplicates(docs, docs).select("doc_id", "duplicate_of")
 
 
 @query("""
