@@ -153,30 +153,31 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers: dict[bytes, int] = {}
             term = np.array([numbers.setdefault(low[a:b].tobytes(), len(numbers)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             first = np.unique(term, return_index=True)[1]
-        raw = low.tobytes()
-        columns = {
-            "terms": ([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary()),
-            "counts": (np.bincount(term, minlength=len(first)) if len(h) else [], pa.int32()),
-            "positions": (np.argsort(term, kind="stable"), pa.int32()),
-            "n_words": (np.bincount(doc, minlength=len(batch)), pa.int64()),
-        }
-        ids = batch.column("doc_id")
-        lists = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t)) for c, (v, t) in columns.items()}
-        whole = {c: pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(c)) for c in ("row",)}
-        yield pa.record_batch({"shard": pa.array([uuid.uuid4().hex]), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)} | whole | lists)
+        lengths = (end - begin)[first] if len(h) else np.zeros(0, np.int64)
+        parts = (np.repeat(begin[first] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())) if len(h) else np.zeros(0, np.int64)
+        numbers = {"ends": np.concatenate(([0], np.cumsum(lengths))), "counts": np.bincount(term, minlength=len(first)) if len(h) else lengths, "positions": np.argsort(term, kind="stable")}
+        one = pa.array([0, len(batch)], pa.int32())
+        lists = {"doc_ids": batch.column("doc_id"), "row": batch.column("row"), "n_words": pa.array(np.bincount(doc, minlength=len(batch)), pa.int64())}
+        yield pa.record_batch(
+            {"shard": pa.array([uuid.uuid4().hex])}
+            | {c: pa.ListArray.from_arrays(one, v) for c, v in lists.items()}
+            | {"terms": pa.array([low[parts].tobytes()], pa.binary())}
+            | {c: pa.array([v.astype("<i4").tobytes()], pa.binary()) for c, v in numbers.items()}
+        )
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored positional index of docs (doc_id, text), a row for each shard: its documents and the postings of all its terms.
 
-    shard string, doc_ids array, row array<long> (row_key of id and text), terms array<binary>, counts array<int>,
-    positions array<int> (term after term; words are numbered through the shard), n_words array<long> of the documents.
+    shard string; doc_ids, row (row_key of id and text) and n_words, arrays with a value for each document; terms, the
+    different words one after the other, and as little-endian 32-bit numbers: ends (of the words in terms, from 0 on),
+    counts (of each term) and positions (term after term; words are numbered through the shard).
     Null and empty texts have no words; repeated rows are documents of their own; an empty table has no shards.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
-    return written(rows.mapInArrow(_store, f"shard string, doc_ids array<{kind}>, row array<long>, terms array<binary>, counts array<int>, positions array<int>, n_words array<long>"), "postings")
+    return written(rows.mapInArrow(_store, f"shard string, doc_ids array<{kind}>, row array<long>, n_words array<long>, terms binary, ends binary, counts binary, positions binary"), "postings")
 
 
 class Queries:
@@ -224,10 +225,10 @@ _KIND = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("l
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[tuple[dict, PositionalIndex]]:
     for batch in batches:
         for i in range(len(batch)):
-            part = {c: batch.column(c)[i].values for c in batch.schema.names if c != "shard"}
-            part["shard"] = batch.column("shard")[i].as_py()
-            counts, positions, n_words = (part[c].to_numpy() for c in ("counts", "positions", "n_words"))
-            yield part, PositionalIndex.of_row(part["terms"].cast(pa.binary()), counts.astype(np.int64), positions.astype(np.int64), n_words, vocabulary)
+            part = {c: batch.column(c)[i].values for c in ("doc_ids", "row", "n_words")} | {"shard": batch.column("shard")[i].as_py()}
+            terms, ends, counts, positions = (batch.column(c)[i].as_buffer() for c in ("terms", "ends", "counts", "positions"))
+            words = pa.Array.from_buffers(pa.binary(), len(counts) // 4, [None, ends, terms])
+            yield part, PositionalIndex.of_row(words, *(np.frombuffer(x, "<i4").astype(np.int64) for x in (counts, positions)), part["n_words"].to_numpy(), vocabulary)
 
 
 def _found(part: dict, **columns: pa.Array) -> pa.RecordBatch:
