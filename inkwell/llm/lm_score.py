@@ -1,14 +1,15 @@
 """Cross-entropy difference: how much better a target model than a background model predicts each document.
 
 Both models are word bigrams over one vocabulary, hashed word numbers, with the same hashed bigram cells and the same
-smoothing. Every token of the corpus is counted, in the model its document belongs to; counts leave a task as blocks
-of cells, which are summed before and after the shuffle. The models have a fixed number of cells, a parameter, so
-what is broadcast does not grow. Background counts are scaled to the target's size, which makes the models match.
+smoothing. Every token of the corpus is counted, in the model its document belongs to. The numbers of cells grow with
+the corpus, with the square root of its bytes; counts leave a task as sparse blocks of cells and are added up by block,
+so no task counts the whole model. Background counts are scaled to the target's size, which makes the models match.
 A document's own counts are taken out of its model before it is scored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,16 @@ from pyspark.sql import functions as F
 from ._common import pieces_of, ship, text_bytes, written
 from .decontaminate import words_of
 
-#: log2 of the vocabulary and of the bigram cells; the models take 2 * 4 * (2**WORDS + 2**PAIRS) bytes.
-WORDS, PAIRS = 16, 20
-#: Cells in a row on their way; weight of the unigram in a bigram's estimate.
-WIDE, PRIOR = 64, 8.0
+#: log2 of the vocabulary and of the bigram cells of a corpus of up to 2**LEAST bytes; the models take 2 * 4 * (2**WORDS + 2**PAIRS) bytes.
+WORDS, PAIRS, LEAST = 16, 20, 27
+#: log2 of the cells of a block; bytes of text whose tokens are counted at a time; weight of the unigram in a bigram's estimate.
+BLOCK, CHUNK, PRIOR = 16, 8 << 20, 8.0
+
+
+def bits_for(size: int) -> tuple[int, int]:
+    """log2 of the vocabulary and of the bigram cells of a corpus of so many bytes: twice the cells for four times the text."""
+    more = max(0, math.ceil((math.log2(max(size, 1)) - LEAST) / 2))
+    return WORDS + more, PAIRS + more
 
 
 def cells(data: np.ndarray, off: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, ...]:
@@ -41,25 +48,47 @@ def cells(data: np.ndarray, off: np.ndarray, words: int, pairs: int) -> tuple[np
 
 
 def _counts(words: int, pairs: int):
+    """Sparse counts of each piece of text: the cells of a block, words before pairs and side after side, and their counts."""
     size = (1 << words) + (1 << pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, size), np.int64)
+        held: list[np.ndarray] = []
+        total = 0
         for batch in pieces_of(batches, "text", 1 << 20):
-            doc, word, pair, _ = cells(*text_bytes(batch.column("text")), words, pairs)
-            side = np.asarray(batch.column("target").to_numpy(zero_copy_only=False), np.int64)[doc]
-            for s in (0, 1):
-                mine = side == s
-                table[s] += np.bincount(np.concatenate((word[mine], pair[mine & (pair >= 0)] + (1 << words))), minlength=size)
-        for s in (0, 1):
-            blocks = table[s].reshape(-1, WIDE)
-            for some in np.array_split(np.flatnonzero(blocks.any(axis=1)), 16):
-                columns = {f"c{i}": pa.array(blocks[some, i]) for i in range(WIDE)}
-                yield pa.record_batch({"side": pa.array(np.full(len(some), s, np.int32)), "block": pa.array(some.astype(np.int32))} | columns)
+            data, off = text_bytes(batch.column("text"))
+            doc, word, pair, _ = cells(data, off, words, pairs)
+            side = np.asarray(batch.column("target").to_numpy(zero_copy_only=False), np.int64)[doc] * size
+            held += [side + word, (side + pair + (1 << words))[pair >= 0]]
+            total += len(data)
+            if total >= CHUNK:
+                yield _sparse(held)
+                held, total = [], 0
+        if held:
+            yield _sparse(held)
 
     return run
 
 
+def _sparse(held: list[np.ndarray]) -> pa.RecordBatch:
+    cell, count = np.unique(np.concatenate(held), return_counts=True)
+    block = cell >> BLOCK
+    edges = np.concatenate((np.flatnonzero(np.diff(block, prepend=-1)), [len(cell)]))
+    low, count = (cell & ((1 << BLOCK) - 1)).astype("<u2"), count.astype("<u4")
+    part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+    return pa.record_batch({"block": pa.array(block[edges[:-1]], pa.int64()), "cells": part(low), "counts": part(count)})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks added up; a partition holds its share of the model's blocks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, low, count in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "counts")), strict=True):
+            table = sums.setdefault(block, np.zeros(1 << BLOCK, np.int64))
+            table[np.frombuffer(low, "<u2")] += np.frombuffer(count, "<u4")  # each cell once
+    for block, table in sums.items():
+        yield pa.record_batch({"block": pa.array([block], pa.int64()), "table": pa.array([table.astype("<f4").tobytes()], pa.binary())})
+
+
 @dataclass
 class Models:
     """Counts of the target (row 1) and, scaled to it, of the background (row 0)."""
@@ -96,19 +125,22 @@ def _own(doc: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return count[inverse]
 
 
-def train_models(docs: DataFrame, words: int = WORDS, pairs: int = PAIRS) -> Models:
-    """Models of docs (text, target boolean) that count all their tokens."""
+def train_models(docs: DataFrame, words: int | None = None, pairs: int | None = None) -> Models:
+    """Models of docs (text, target boolean) that count all their tokens; words, pairs: log2 of the cells, by the corpus if not given."""
     ship(docs.sparkSession)
-    columns = [f"c{i}" for i in range(WIDE)]
-    rows = docs.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts(words, pairs), f"side int, block int, {', '.join(f'{c} long' for c in columns)}")
-    got = rows.groupBy("side", "block").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-    table = np.zeros((2, ((1 << words) + (1 << pairs)) // WIDE, WIDE))
-    if len(got):
-        table[got.column("side").to_numpy(), got.column("block").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in columns])
-    table = table.reshape(2, -1)
-    size = table[:, : 1 << words].sum(axis=1)
-    scale = np.array([size[1] / size[0] if size.all() else 1.0, 1.0])
-    table = (table * scale[:, None]).astype(np.float32)
+    if words is None or pairs is None:
+        found = bits_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        words, pairs = words or found[0], pairs or found[1]
+    size = (1 << words) + (1 << pairs)
+    rows = docs.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts(words, pairs), "block long, cells binary, counts binary")
+    got = rows.repartition("block").mapInArrow(_added, "block long, table binary").collect()
+    table = np.zeros(-(-2 * size >> BLOCK) << BLOCK, np.float32)
+    for r in got:
+        table[r.block << BLOCK : (r.block + 1) << BLOCK] = np.frombuffer(r.table, "<f4")
+    table = table[: 2 * size].reshape(2, size)
+    tokens = table[:, : 1 << words].sum(axis=1, dtype=np.float64)
+    scale = np.array([tokens[1] / tokens[0] if tokens.all() else 1.0, 1.0])
+    table *= scale[:, None].astype(np.float32)
     return Models(table[:, : 1 << words], table[:, 1 << words :], scale, (words, pairs))
 
 
@@ -122,7 +154,7 @@ def _score(box):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, words: int = WORDS, pairs: int = PAIRS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, words: int | None = None, pairs: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a token) and score, their difference: lower is more like the target.
 
     docs: doc_id, text, target boolean (null: background). Null, empty and wordless texts have no tokens and score 0.

@@ -1,8 +1,10 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from inkwell.llm import lm_score as L
 from inkwell.llm._common import text_bytes
@@ -40,6 +42,33 @@ def brute(rows, words, pairs):
     return sorted(out)
 
 
+def test_cells_grow_with_the_corpus():
+    sizes = [L.bits_for(n) for n in (0, 1 << 27, 1 << 29, 1 << 31, 1 << 41)]
+    assert sizes == [(16, 20), (16, 20), (17, 21), (18, 22), (23, 27)]
+
+
+def test_query_equals_brute_force(spark):
+    from inkwell.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    rows = [(r.doc_id, r.text, r.doc_id in good) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((str(x.doc_id), x.n_tokens, x.target_loss, x.background_loss, x.score) for x in QUERIES["op3_cross_entropy"](spark, sf).collect())
+    want = brute(rows, 16, 20)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:4] for g in got], [w[2:] for w in want], rtol=1e-4, atol=1e-4) and np.allclose([g[4] for g in got], [w[2] - w[3] for w in want], atol=1e-3)
+
+
+def test_one_huge_word_and_chunks(spark, monkeypatch):
+    rows = [(1, "x" * 300_000, True), (2, "a b " * 20_000, False), (3, "b a", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    monkeypatch.setattr(L, "CHUNK", 1)
+    got = sorted((str(x.doc_id), x.n_tokens, x.target_loss, x.background_loss) for x in L.cross_entropy_difference(df, 6, 8).collect())
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in brute(rows, 6, 8)], rtol=1e-4, atol=1e-4)
+
+
 def test_equals_brute_force(spark):
     r = random.Random(6)
     mode = [["the", "cat", "sat", "É1"], ["buy", "now", "the", "x9"]]
