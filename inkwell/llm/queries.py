@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op7_decontaminate
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .html_template import op1_html_template
 from .license_scan import op6_license_scan
 from .lm_score import op3_cross_entropy
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_maxscore_topk": OP2_SQL,
+    "op7_decontaminate": OP7_SQL,
 }
