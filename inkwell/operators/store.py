@@ -1,15 +1,19 @@
-"""The corpus store: versioned parquet snapshots with an atomic pointer, and the joins behind incremental ingest.
+"""The corpus store: tables of parts under an atomic pointer, and the joins behind incremental ingest.
 
-A store is a folder with one folder for each version of each table and a small file that names the current version
-of all of them. A commit writes new versions first and then replaces that file, so readers see all of it or nothing,
-and a job that dies leaves the old state. Files are reached through Hadoop, so the folder can be in any store.
+A store is a folder with one folder of parts for each table and a small file that names the parts of all of them. A
+commit writes new parts and the ids of the documents that they replace, then replaces that file: readers see all of it
+or nothing, a job that dies leaves the old state, and what did not change is not written again. Every FAN parts of one
+level become one part of the next, so a row is written once for each level. Files are reached through Hadoop, so the
+folder can be in any store.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,14 +66,20 @@ def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) ->
     return sums.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("weight"), F.col(value))).alias(value))
 
 
-# ---------------------------------------------------------------- snapshots
+# ---------------------------------------------------------------- parts
 
+#: So many parts of one level are merged.
+FAN = 8
+#: Vectors are made and kept in slices of about so many chunks; a job that dies loses one slice.
+SLICE = 50_000
+#: pending holds the vectors of an ingest that is not committed yet.
 TABLES = {
     "documents": "doc_id string, title string, filename string, space string, sensitivity string, file_type string, source_sha256 string, source_bytes long, warnings array<string>, status string, registry_version long, chunker_config string, chunk_count long, ingested_at timestamp",
     "chunks": "chunk_id string, doc_id string, chunk_index int, heading_path array<string>, text string, embed_text string, page_start int, page_end int, block_types array<string>, token_estimate int, overlap_tokens int, chunk_sha256 string, chunker_version string, chunker_config string, space string, sensitivity string, file_type string",
     "vectors": "chunk_id string, doc_id string, chunk_sha256 string, model_key string, dim int, vector array<float>",
     "sources": "doc_id string, filename string, space string, sensitivity string, content binary",
     "occurrences": "doc_id string, layer string, entity_id long, rule string, surface string, start int, confidence double, status string",
+    "pending": "chunk_id string, doc_id string, chunk_sha256 string, model_key string, dim int, vector array<float>",
     "jobs": "doc_id string, stage string, status string, error string, at timestamp",
 }
 
@@ -93,28 +103,96 @@ class Store:
             stream.close()
 
     def read(self, name: str) -> DataFrame:
-        version = self.state()["tables"].get(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
-
-    def commit(self, tables: dict[str, DataFrame] | None = None, **settings) -> dict:
-        """Write new versions of tables, then name them all at once."""
+        return self._live(name, self.state()["tables"].get(name, []))
+
+    def _live(self, name: str, parts: list[dict]) -> DataFrame:
+        """Rows of parts whose documents no later part replaces."""
+        out = self.spark.createDataFrame([], TABLES[name]).withColumn("_part", F.lit(0))
+        gone = None
+        for i, part in enumerate(parts):
+            if part["rows"]:
+                out = out.unionByName(self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{part['rows']}").withColumn("_part", F.lit(i)))
+            if part["gone"] and i:
+                keys = self.spark.read.schema("doc_id string").parquet(f"{self.path}/gone/{part['gone']}").select(F.col("doc_id").alias("_gone"), F.lit(i).alias("_until"))
+                gone = keys if gone is None else gone.unionByName(keys)
+        if gone is not None:
+            out = out.join(gone, (out["doc_id"] == gone["_gone"]) & (out["_part"] < gone["_until"]), "left_anti")
+        return out.drop("_part")
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        part = f"p-{uuid.uuid4().hex}"
+        if name == "gone":
+            df.select("doc_id").distinct().write.parquet(f"{self.path}/gone/{part}")
+            return part
+        columns = self.spark.createDataFrame([], TABLES[name])
+        out = columns.unionByName(df, allowMissingColumns=True).select(columns.columns)
+        if name == "vectors":  # the models lie side by side
+            out.write.partitionBy("model_key").parquet(f"{self.path}/{name}/{part}")
+        else:
+            out.write.parquet(f"{self.path}/{name}/{part}")
+        return part
+
+    def commit(self, tables: dict[str, DataFrame] | None = None, add: dict[str, DataFrame | None] | None = None, gone: DataFrame | None = None, **settings) -> dict:
+        """Name new parts of tables all at once.
+
+        tables: tables as a whole. add: new rows of tables, in which the rows of the documents (doc_id) in gone are replaced.
+        """
         state = self.state()
-        fresh = {}
-        for name, df in (tables or {}).items():
-            version = f"v={state['version'] + 1}-{uuid.uuid4().hex[:8]}"
-            columns = self.spark.createDataFrame([], TABLES[name])
-            out = columns.unionByName(df, allowMissingColumns=True).select(columns.columns)
-            if name == "vectors":  # the models lie side by side
-                out.write.partitionBy("model_key").parquet(f"{self.path}/{name}/{version}")
-            else:
-                out.write.parquet(f"{self.path}/{name}/{version}")
-            fresh[name] = version
+        fresh = {name: [{"rows": self._write(name, df), "gone": None, "level": 0}] for name, df in (tables or {}).items()}
+        left = self._write("gone", gone) if gone is not None else None
+        for name, df in (add or {}).items():
+            part = {"rows": None if df is None else self._write(name, df), "gone": left, "level": 0}
+            fresh[name] = self._merged(name, [*state["tables"].get(name, []), part])
         state = {"version": state["version"] + 1, "tables": state["tables"] | fresh, "settings": state["settings"] | settings}
         self._name(state)
         return state
 
+    def _merged(self, name: str, parts: list[dict]) -> list[dict]:
+        """The last parts, where there are FAN of one level, as one part of the next."""
+        while len(parts) >= FAN and len({p["level"] for p in parts[-FAN:]}) == 1:
+            before, last = parts[:-FAN], parts[-FAN:]
+            keys = [self.spark.read.schema("doc_id string").parquet(f"{self.path}/gone/{p['gone']}") for p in last if p["gone"]] if before else []
+            gone = keys[0] if keys else None
+            for more in keys[1:]:
+                gone = gone.unionByName(more)
+            merged = {"rows": self._write(name, self._live(name, last)), "gone": None if gone is None else self._write("gone", gone), "level": last[0]["level"] + 1}
+            parts = [*before, merged]
+        return parts
+
+    @contextmanager
+    def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a table and reads it again; the tables go at the end."""
+        folder = f"staging/{uuid.uuid4().hex}"
+
+        def staged(df: DataFrame) -> DataFrame:
+            path = f"{self.path}/{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield staged
+        finally:
+            where, fs = self._file(folder)
+            fs.delete(where, True)
+
+    def outcomes(self, df: DataFrame) -> DataFrame:
+        """What became of each file of a run, kept as a table of that run until it is vacuumed."""
+        path = f"{self.path}/runs/r-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Delete parts that the store no longer names and that are older than any reader or writer still at work."""
+        tables = self.state()["tables"]
+        named = {p[k] for parts in tables.values() for p in parts for k in ("rows", "gone") if p[k]}
+        n = 0
+        for name in (*TABLES, "gone", "runs", "staging"):
+            where, fs = self._file(name)
+            for f in fs.listStatus(where) if fs.exists(where) else ():
+                if f.getPath().getName() not in named and f.getModificationTime() < (time.time() - hours * 3600) * 1000:
+                    n += fs.delete(f.getPath(), True)
+        return n
+
     def _name(self, state: dict) -> None:
         draft, fs = self._file(f"next-{uuid.uuid4().hex}.json")
         stream = fs.create(draft, True)
@@ -135,7 +213,7 @@ class Store:
 
     def delete(self, ids: list[str]) -> dict:
         gone = self.spark.createDataFrame([(i,) for i in ids], "doc_id string")
-        return self.commit({name: without(self.read(name), gone, "doc_id") for name in TABLES})
+        return self.commit(add=dict.fromkeys(TABLES), gone=gone)
 
     def wipe(self) -> dict:
         return self.commit({name: self.spark.createDataFrame([], TABLES[name]) for name in TABLES})
@@ -152,12 +230,20 @@ class Store:
     def missing_vectors(self, model: str) -> DataFrame:
         return self.read("chunks").join(self.read("vectors").where(F.col("model_key") == model).select("chunk_id"), "chunk_id", "left_anti")
 
-    def embed_missing(self, factory: Callable, model: str) -> dict:
-        """Vectors of a model for chunks that have none; the models in use are left as they are."""
+    def embed_missing(self, factory: Callable, model: str, size: int = SLICE) -> dict:
+        """Vectors of a model for chunks that have none, kept slice by slice; the models in use are left as they are."""
+        return self.embed_slices(lambda: self.missing_vectors(model), factory, "vectors", size)
+
+    def embed_slices(self, missing: Callable[[], DataFrame], factory: Callable, into: str, size: int = SLICE) -> dict:
+        """Embed what is missing, and add each slice to a table; a job that is started again finds what is there."""
         from .embed import embed_column
 
-        fresh = embed_column(self.missing_vectors(model).select("chunk_id", "doc_id", "chunk_sha256", "embed_text"), factory)
-        return self.commit({"vectors": self.read("vectors").unionByName(fresh.drop("embed_text"))})
+        columns = ["chunk_id", "doc_id", "chunk_sha256", "embed_text"]
+        slices = -(-missing().count() // size)
+        for i in range(slices):
+            own = missing().where(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == i)
+            self.commit(add={into: embed_column(own.select(*columns), factory).drop("embed_text")})
+        return self.state()
 
     def activate(self, model: str) -> dict:
         """Make a model the one that is searched, if it has every chunk."""

@@ -1,7 +1,7 @@
 import pytest
 
 from inkwell.operators import answer, embed, evaluate, guard, retrieve, wiki
-from inkwell.operators.ingest import EmptyRegistry, ingest, remask
+from inkwell.operators.ingest import EmptyRegistry, after_change, ingest, protect, remask
 from inkwell.operators.store import TABLES, Store
 from inkwell.streaming.ingest import mask_answers, watch
 
@@ -80,6 +80,92 @@ def test_life_of_a_corpus(spark, tmp_path, registry):
     assert store.read("documents").count() == 2
 
 
+def test_a_commit_writes_what_changed(spark, tmp_path, registry):
+    store = Store(spark, f"file://{tmp_path}/store")
+    texts = {f"d{i}": f"# Topic {i}\n\nWords about area {i}." for i in range(5)}
+    ingest(store, source(spark, **texts), registry, KEY, embed.HashedWords)
+    before = store.state()["tables"]
+    ingest(store, source(spark, **texts | {"d3": "# Topic 3\n\nOther words."}), registry, KEY, embed.HashedWords)
+    after = store.state()["tables"]
+    for name in ("documents", "chunks", "vectors", "sources", "jobs"):
+        assert after[name][:-1] == before[name]
+        assert spark.read.parquet(f"file://{tmp_path}/store/{name}/{after[name][-1]['rows']}").count() == 1
+        assert store.read(name).count() == 5
+    assert "Other words." in {r.text.split("\n")[-1] for r in store.read("chunks").collect()}
+    # nothing to do writes no part
+    ingest(store, source(spark, **texts), registry, KEY, embed.HashedWords)
+    state = store.state()
+    ingest(store, source(spark, **texts), registry, KEY, embed.HashedWords)
+    assert store.state() == state
+    assert not (tmp_path / "store/staging").exists() or not any((tmp_path / "store/staging").iterdir())
+    assert store.vacuum() == 0
+    rows = sorted(r.text for r in store.read("chunks").collect())
+    assert store.vacuum(hours=-1) > 0 and sorted(r.text for r in store.read("chunks").collect()) == rows
+
+
+def test_parts_are_merged_by_level(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("inkwell.operators.store.FAN", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    want: dict = {}
+    job = "doc_id string, stage string"
+    for i in range(14):
+        new = {f"k{i % 5}": f"s{i}", f"k{(i * 3) % 7}": f"t{i}"}
+        gone = [*new, "k6"] if i % 4 == 3 else list(new)
+        store.commit(add={"jobs": spark.createDataFrame(list(new.items()), job)}, gone=spark.createDataFrame([(k,) for k in gone], "doc_id string"))
+        want = {k: v for k, v in want.items() if k not in gone} | new
+        assert {r.doc_id: r.stage for r in store.read("jobs").collect()} == want
+    assert [p["level"] for p in store.state()["tables"]["jobs"]] == [2, 1, 0, 0]
+
+
+def test_embedding_resumes(spark, tmp_path, registry):
+    store = Store(spark, f"file://{tmp_path}/store")
+    texts = {f"d{i}": f"# Topic {i}\n\nWords about area {i}." for i in range(12)}
+    done = tmp_path / "done"
+    done.mkdir()
+
+    class Dying(embed.HashedWords):
+        """Records each text; dies with an error that is not tried again once seven have been made."""
+
+        def __init__(self, most=7):
+            super().__init__()
+            self.most = most
+
+        def embed(self, given):
+            import uuid
+
+            for _ in given:
+                if len(list(done.iterdir())) >= self.most:
+                    raise embed.Fatal("down")
+                (done / uuid.uuid4().hex).touch()
+            return super().embed(given)
+
+    with pytest.raises(Exception, match="down"):
+        ingest(store, source(spark, **texts), registry, KEY, Dying, size=3)
+    kept = store.read("pending").count()
+    assert 0 < kept <= 7 and store.read("documents").count() == 0
+    already = len(list(done.iterdir()))
+    ingest(store, source(spark, **texts), registry, KEY, lambda: Dying(10**6), size=3)
+    assert len(list(done.iterdir())) - already == 12 - kept
+    assert (store.read("vectors").count(), store.read("documents").count(), store.read("pending").count()) == (12, 12, 0)
+
+
+def test_review_protects_a_name(spark, tmp_path, registry):
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert after_change(store, registry, KEY, embed.HashedWords) is None
+    ingest(store, source(spark, a="# A\n\nFabrikam Ltd sells.", b="# B\n\nNothing here."), registry, KEY, embed.HashedWords)
+    assert [r.surface for r in store.read("occurrences").where("status = 'candidate'").collect()] == ["Fabrikam Ltd"]
+    assert protect(store, registry, "Fabrikam Ltd", KEY, embed.HashedWords) == 2
+    assert any("CLIENT_B sells" in r.text for r in store.read("chunks").collect()) and store.read("occurrences").where("status = 'candidate'").count() == 0
+
+    def broken():
+        raise RuntimeError("no model")
+
+    registry.add("Nothing", "other")
+    with pytest.warns(UserWarning, match="no model"):
+        assert after_change(store, registry, KEY, broken) is None
+    assert store.stale(registry).count() == 2
+
+
 def test_retrieve_and_ask(spark, tmp_path, registry):
     store = Store(spark, f"file://{tmp_path}/store")
     texts = {f"d{i}": f"# Topic {i}\n\nFiller words about area {i}." for i in range(6)} | {"cut": "# Cutover\n\nContoso starts the cutover window at nine on Sunday."}
