@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import escape_html
 from ..sources.files import extracted
@@ -30,9 +32,9 @@ def export_html(pages: DataFrame, matcher: guard.Matcher, path: str) -> None:
     masked_html(pages, matcher).select(F.regexp_replace("html", "\r?\n", "&#10;")).write.text(path)
 
 
-@F.udf("string")
-def _html(blocks):
-    return blocks_to_html([b.asDict() for b in blocks or ()])
+@F.pandas_udf(StringType())
+def _html(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda b: blocks_to_html([] if b is None else list(b)))
 
 
 def import_pages(pages: DataFrame, files: DataFrame, space: str, at: str) -> DataFrame:

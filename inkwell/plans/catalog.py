@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import answer, evaluate, guard, retrieve, search, store, wiki
+from ..operators import answer, chunker, embed, evaluate, guard, retrieve, search, sinks, store, wiki
 from ..sources import markup
+from ..sources.files import extracted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,8 +217,6 @@ def titles_from_filenames(spark, sf_dir):
 
 @query(None)
 def chunk_documents(spark, sf_dir):
-    from ..operators import chunker
-
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), chunker.text_blocks("text").alias("blocks"))
     return chunker.chunk_documents(docs).select("doc_id", "chunk_index", "chunk_id", "token_estimate", "overlap_tokens", "chunk_sha256")
 
@@ -602,3 +601,257 @@ def progress_by_hour(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return progress(rows, every="1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+# ---------------------------------------------------------------- pages
+
+_CUSTOMER_PAGES = """p AS (SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN 'release' ELSE 'ops' END AS space, CASE WHEN c_custkey % 10 > 0 THEN c_custkey - c_custkey % 10 END AS parent_id,
+ c_name AS title, '<p>' || c_mktsegment || '</p>' AS body_html, c_mktsegment AS body_text, c_nationkey AS position, '2026-01-01' AS updated_at FROM customer)"""
+
+
+def _customer_pages(spark, sf_dir) -> DataFrame:
+    """Every tenth customer is the parent of the nine after it."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.when(F.col("c_nationkey") < 5, "release").otherwise("ops").alias("space"), F.when(key % 10 > 0, key - key % 10).alias("parent_id"), F.col("c_name").alias("title"),
+        F.concat(F.lit("<p>"), "c_mktsegment", F.lit("</p>")).alias("body_html"), F.col("c_mktsegment").alias("body_text"), F.col("c_nationkey").cast("int").alias("position"),
+        F.lit("note").alias("type"), F.lit("Internal").alias("sensitivity"), F.lit("2026-01-01").alias("updated_at"),
+    )
+    return spark.createDataFrame([], wiki.PAGE).unionByName(rows, allowMissingColumns=True)
+
+
+@query(f"WITH {_CUSTOMER_PAGES} SELECT id, title, position FROM p WHERE space = 'release'")
+def page_tree(spark, sf_dir):
+    return wiki.tree(_customer_pages(spark, sf_dir), "deployment").select("id", "title", "position")
+
+
+_DEBT = "SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0"
+
+
+def _patched(spark, sf_dir):
+    debt = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    patch = debt.select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" owes")).alias("title"), F.lit("bank").alias("owner"), F.lit("<p>a &amp; b</p>").alias("body_html"))
+    return wiki.update(_customer_pages(spark, sf_dir), spark.createDataFrame([], wiki.REVISION), patch, "2026-02-01")
+
+
+@query(f"""
+WITH {_CUSTOMER_PAGES}, d AS ({_DEBT})
+SELECT p.id, CASE WHEN d.id IS NULL THEN title ELSE title || ' owes' END AS title, CASE WHEN d.id IS NULL THEN body_text ELSE 'a & b' END AS body_text,
+ CASE WHEN d.id IS NOT NULL THEN 'bank' END AS owner, CASE WHEN d.id IS NULL THEN updated_at ELSE '2026-02-01' END AS updated_at FROM p LEFT JOIN d ON d.id = p.id
+""")
+def updated_pages(spark, sf_dir):
+    return _patched(spark, sf_dir)[0].select("id", "title", "body_text", "owner", "updated_at")
+
+
+@query(f"WITH {_CUSTOMER_PAGES} SELECT id AS page_id, title, body_html, 'user' AS origin, '2026-02-01' AS created_at FROM p WHERE id IN ({_DEBT})")
+def page_revisions(spark, sf_dir):
+    return _patched(spark, sf_dir)[1].select("page_id", "title", "body_html", "origin", "created_at")
+
+
+@query(f"WITH {_CUSTOMER_PAGES} SELECT id, CASE WHEN id BETWEEN 10 AND 19 THEN 'archive' ELSE space END AS space, parent_id FROM p")
+def moved_pages(spark, sf_dir):
+    return wiki.move(_customer_pages(spark, sf_dir), 10, "archive").select("id", "space", "parent_id")
+
+
+@query(f"WITH {_CUSTOMER_PAGES} SELECT id, CASE WHEN parent_id <> 10 THEN parent_id END AS parent_id FROM p WHERE id <> 10")
+def removed_page(spark, sf_dir):
+    return wiki.remove({"pages": _customer_pages(spark, sf_dir)}, 10)["pages"].select("id", "parent_id")
+
+
+@query(f"""
+WITH {_CUSTOMER_PAGES}, o AS (SELECT id, row_number() OVER (ORDER BY space = 'ops', position, title) - 1 AS place FROM p WHERE parent_id IS NULL)
+SELECT p.id, 'release' AS space, coalesce(o.place, p.position) AS position FROM p LEFT JOIN o ON o.id = p.id
+""")
+def merged_space(spark, sf_dir):
+    no_tags = spark.createDataFrame([], "page_id long, name string")
+    return wiki.merge_space(_customer_pages(spark, sf_dir), no_tags, "ops", "release")[0].select("id", "space", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""
+WITH {_CUSTOMER_PAGES} SELECT id, title, body_text FROM p
+UNION ALL SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY s_nationkey::VARCHAR, s_name), s_name, 'No. ' || s_suppkey || chr(10) || '<new>' FROM supplier
+""")
+def created_pages(spark, sf_dir):
+    body = F.concat(F.lit("<p>No. "), F.col("s_suppkey").cast("string"), F.lit("</p> <p>&lt;new&gt;</p>"))
+    new = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("space"), F.col("s_name").alias("title"), body.alias("body_html"))
+    return wiki.create(_customer_pages(spark, sf_dir), new, "2026-02-01").select("id", "title", "body_text")
+
+
+@query("""
+SELECT n_name AS title, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'new' END AS body_text FROM nation
+""")
+def seeded_templates(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    there = nation.where("n_nationkey < 10").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.lit("old").alias("body_text"), F.lit("template").alias("type"))
+    pages = spark.createDataFrame([], wiki.PAGE).unionByName(there, allowMissingColumns=True)
+    wanted = nation.select(F.lit("release").alias("space"), F.col("n_name").alias("title"), F.lit("<b>new</b>").alias("body_html"), F.lit("Internal").alias("sensitivity"))
+    return wiki.seed(pages, wanted, "2026-02-01").where("type = 'template'").select("title", "body_text")
+
+
+@query("""
+SELECT c_nationkey AS page_id, c_custkey + 1000 AS src_page_id, c_name AS title FROM customer
+""")
+def page_backlinks(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.lit("").alias("body_text"))
+    body = F.concat(F.lit("of [[ nation_"), F.col("c_nationkey").cast("string"), F.lit(" ]]"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).alias("id"), F.col("c_name").alias("title"), body.alias("body_text"))
+    pages = nations.unionByName(customers)
+    return wiki.backlinks(wiki.links(pages), pages)
+
+
+@query("""
+SELECT event_id AS id, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-10' QUALIFY rank <= 50
+""")
+def filter_only_search(spark, sf_dir):
+    title = F.lpad(F.col("event_id").cast("string"), 20, "0")
+    pages = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), title.alias("title"), F.col("props").alias("body_text"), F.col("event_type").alias("space"), F.col("ts").alias("updated_at"))
+    return search.search(pages, "space:error before:2024-01-10").select("id", F.col("rank").cast("long").alias("rank"))
+
+
+# Scores of the fuzzy search for "thntion inges". DuckDB counts the edits of bytes, so each other letter becomes one byte.
+_FUZZY = rf"""
+ x AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text, ' ' || trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, ' ' || trim(regexp_replace(lower(substr(text, 1, 4000)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS b FROM documents),
+ g AS (SELECT id, title, text, {_GRAMS.replace("x", "t")} AS tg, {_GRAMS.replace("x", "b")} AS bg FROM x),
+ q AS (SELECT {_GRAMS} AS q FROM (SELECT ' thntion inges ' AS x)),
+ f AS (SELECT id, text, coalesce(len(list_intersect(tg, q)) / (len(tg) + len(q) - len(list_intersect(tg, q))), 0) * 2.0::DOUBLE + coalesce(len(list_intersect(bg, q)) / (len(bg) + len(q) - len(list_intersect(bg, q))), 0) * 0.6::DOUBLE
+   + CASE WHEN len(list_filter(string_split_regex(regexp_replace(lower(title), '[^\x00-\x7F]', '#', 'g'), '\s+'), lambda w: levenshtein(w, 'thntion') <= 2 OR levenshtein(w, 'inges') <= 2)) > 0 THEN 0.8::DOUBLE ELSE 0 END AS score, strpos(lower(text), 'thntion') AS pos FROM g, q),
+ ff AS (SELECT id, text, pos, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM f WHERE score > 0.08 QUALIFY rank <= 50)
+""".replace("lengtht", "length").replace("lengthb", "length")
+
+
+@query(f"""
+WITH {_FUZZY.strip()}
+SELECT id, sha256(CASE WHEN pos > 0 THEN '…' || trim(substr(text, greatest(pos - 41, 0) + 1, pos + 119 - greatest(pos - 41, 0))) || '…' ELSE substr(text, 1, 140) END) AS sha FROM ff
+""")
+def fuzzy_snippets(spark, sf_dir):
+    return search.fuzzy_search(as_pages(table(spark, sf_dir, "documents")), "thntion inges", 50).select("id", F.sha2("snippet", 256).alias("sha"))
+
+
+@query(f"""
+{_BM25.rstrip()}, {_FUZZY.strip()},
+ ss AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank FROM r JOIN t USING (doc_id) WHERE t.a > 0 AND t.b > 0 QUALIFY rank <= 50),
+ u AS (SELECT id, rank, 0 AS list FROM ss UNION ALL SELECT id, rank, 1 AS list FROM ff),
+ m AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, count(*) AS modes, min((list, rank)) AS place FROM u GROUP BY id)
+SELECT id, round(rrf, 6) AS rrf, modes, row_number() OVER (ORDER BY rrf DESC, place) AS rank FROM m QUALIFY rank <= 50
+""")
+def hybrid_search(spark, sf_dir):
+    found = search.hybrid_search(as_pages(table(spark, sf_dir, "documents")), "thntion inges", 50, stemmed=False)
+    return found.select("id", F.round("rrf", 6).alias("rrf"), F.size("modes").cast("long").alias("modes"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- names, masks and exports
+
+
+@query(r"""
+SELECT n_nationkey + 1 AS id, n_name AS canonical, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS norm, 'org' AS type, 'CLIENT_' || chr(65 + n_nationkey) AS pseudonym, n_nationkey <> 3 AS active FROM nation
+UNION ALL SELECT r_regionkey + 26, r_name, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g'), 'person', 'PERSON_' || lpad((r_regionkey + 1)::VARCHAR, 2, '0'), true FROM region
+""")
+def registry_names(spark, sf_dir):
+    names = guard.Registry()
+    for n in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # a fixed table of 25 rows
+        names.add(n.n_name)
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        names.add(r.r_name, "person")
+    names.add("nation-0")  # the same name
+    names.retire(4)
+    return names.table(spark).select("id", "canonical", "norm", "type", "pseudonym", "active")
+
+
+@query("""
+SELECT c_custkey, 'from [PERSON_EMAIL]' AS mail, '[HOST_IPV4]' AS host, c_name AS name, '[PERSON_EMAIL];' AS named FROM customer
+""")
+def deep_mask(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    mail = F.concat(F.lit("c"), key, F.lit("@mail.example.com"))
+    inner = F.struct(F.concat(F.lit("from "), mail).alias("mail"), F.array(F.concat(F.lit("10.1.2."), (F.col("c_custkey") % 256).cast("string")), "c_name").alias("list"), F.create_map(F.lit("a"), F.concat(mail, F.lit(";"))).alias("map"))
+    rows = guard.mask_deep(table(spark, sf_dir, "customer").select("c_custkey", inner.alias("s")), _registry().matcher())
+    return rows.select("c_custkey", "s.mail", F.col("s.list")[0].alias("host"), F.col("s.list")[1].alias("name"), F.col("s.map")["a"].alias("named"))
+
+
+@query("""
+SELECT o_custkey AS doc_id, o_orderstatus AS status, o_orderkey AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)
+UNION ALL SELECT c_custkey, 'new', -1 FROM customer WHERE c_nationkey < 5 AND c_acctbal > 0
+""")
+def replaced_occurrences(spark, sf_dir):
+    stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("n"))
+    scanned = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("doc_id"), "c_acctbal")
+    fresh = scanned.where("c_acctbal > 0").select("doc_id", F.lit("new").alias("status"), F.lit(-1).cast("long").alias("n"))
+    return guard.replace_occurrences(stored, fresh, scanned)
+
+
+@query("""
+SELECT 'KEY-' || c_custkey AS surface, CASE WHEN c_nationkey < 12 THEN c_name ELSE '(no page)' END AS title FROM customer ORDER BY surface LIMIT 300
+""")
+def review_queue(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    notes = customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("see KEY-"), F.col("c_custkey").cast("string"), F.lit(" or ISO-9001 of "), F.col("c_name")).alias("text"))
+    found = guard.occurrences(notes, guard.Registry().matcher(), "page_id")
+    pages = customers.where("c_nationkey < 12").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    return guard.review_queue(found, pages).select("surface", "title")
+
+
+@query("""
+WITH e AS (SELECT c_custkey AS id, c_name || ' &amp; &lt;[PERSON_EMAIL]&gt;' AS title FROM customer)
+SELECT id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || title || '</title></head><body><h1>' || title || '</h1><p>at [HOST_IPV4]</p></body></html>' AS html FROM e
+""")
+def masked_exports(spark, sf_dir):
+    title = F.concat("c_name", F.lit(" & <c"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com>"))
+    body = F.concat(F.lit("<p>at 10.0.0."), (F.col("c_custkey") % 256).cast("string"), F.lit("</p>"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), title.alias("title"), body.alias("body_html"), F.lit("Internal").alias("sensitivity"))
+    return sinks.masked_html(pages, _registry().matcher())
+
+
+# ---------------------------------------------------------------- files, chunks, vectors and relevance
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{2,}'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, 'note ' || doc_id AS title, 'txt' AS file_type, CAST(len(p) AS BIGINT) AS n_blocks, sha256(array_to_string(p, '|')) AS sha FROM p
+""")
+def text_files(spark, sf_dir):
+    """Every document as a file, those in English as UTF-8 and the others as UTF-16 with a mark."""
+    content = F.when(F.col("lang") == "en", F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("in/note_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), content.alias("content"))
+    read = extracted(files)
+    one = F.array_join(F.transform("blocks", lambda b: F.trim(F.regexp_replace(b["text"], r"\s+", " "))), "|")
+    return read.select("doc_id", "title", "file_type", F.size("blocks").cast("long").alias("n_blocks"), F.sha2(one, 256).alias("sha"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, 0 AS chunk_index, 'Accounts' AS crumb, c_mktsegment AS text, CAST(ceil(length(c_mktsegment) / 3.0) AS BIGINT) AS n FROM customer
+ UNION ALL SELECT c_custkey, 1, 'Accounts › ' || c_name, 'Lives in ' || c_nationkey || '.' || chr(10) || chr(10) || 'Pays.', CAST(ceil(length('Lives in ' || c_nationkey || '.') / 3.0) + 2 AS BIGINT) FROM customer)
+SELECT c_custkey AS doc_id, chunk_index, sha256(crumb || chr(10) || chr(10) || text) AS chunk_sha256, CAST(ceil(length(crumb) / 3.0) AS BIGINT) + n AS token_estimate FROM s
+""")
+def section_chunks(spark, sf_dir):
+    def part(kind, text, *path, level=None):
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(level).cast("int").alias("level"), F.array(*path).alias("heading_path"), F.lit(None).cast("int").alias("page"))
+
+    top, name = F.lit("Accounts"), F.col("c_name")
+    blocks = F.array(
+        part("heading", top, top, level=1), part("paragraph", F.col("c_mktsegment"), top), part("heading", name, top, name, level=2),
+        part("paragraph", F.concat(F.lit("Lives in "), F.col("c_nationkey").cast("string"), F.lit(".")), top, name), part("paragraph", F.lit("Pays."), top, name),
+    )
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), top.alias("title"), blocks.alias("blocks"))
+    return chunker.chunk_documents(docs).select("doc_id", "chunk_index", "chunk_sha256", F.col("token_estimate").cast("long").alias("token_estimate"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents),
+ h AS (SELECT doc_id, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 64 AS bucket FROM w),
+ c AS (SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, count(*) AS n FROM h GROUP BY 1, 2), t AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, bucket, CAST(round(CAST(CAST(n / norm AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT) AS millionths FROM c JOIN t USING (doc_id)
+""")
+def embedded_texts(spark, sf_dir):
+    rows = embed.embed_column(table(spark, sf_dir, "documents").select("doc_id", "text"), embed.HashedWords, "text")
+    some = rows.select("doc_id", F.posexplode("vector").alias("bucket", "x")).where("x > 0")
+    return some.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("x").cast("double") * 1000000).cast("long").alias("millionths"))
+
+
+@query("""
+SELECT c_custkey, (contains(lower(c_name), 'customer#0000000') AND contains('home > nation ' || c_nationkey, 'nation 3')) OR (contains(c_name, '#') AND 2 BETWEEN c_nationkey AND c_nationkey + 1) AS relevant FROM customer
+""")
+def relevant_hits(spark, sf_dir):
+    kind = "array<struct<doc: string, section: string, page: int>>"
+    expect = F.from_json(F.lit('[{"doc": "CUSTOMER#0000000", "section": "Nation 3"}, {"doc": "#", "section": "", "page": 2}]'), kind)
+    path = F.array(F.lit("Home"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")))
+    hit = evaluate.relevant(expect, F.col("c_name"), F.lit(None).cast("string"), path, F.lit(None).cast("string"), F.col("c_nationkey"), F.col("c_nationkey") + 1)
+    return table(spark, sf_dir, "customer").select("c_custkey", hit.alias("relevant"))
