@@ -67,10 +67,10 @@ def revisions_of(revisions: DataFrame, page_id: int, limit: int = 100) -> DataFr
 
 def subtree(pages: DataFrame, root: int) -> DataFrame:
     """id, depth of a page and all below it, by a recursive query in one plan."""
-    pages.select("id", "parent_id").createOrReplaceTempView("_inkwell_pages")
     return pages.sparkSession.sql(
-        f"""WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM _inkwell_pages WHERE id = {int(root)}
-        UNION ALL SELECT p.id, depth + 1 FROM _inkwell_pages p JOIN t ON p.parent_id = t.id) SELECT id, depth FROM t"""
+        f"""WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM {{pages}} WHERE id = {int(root)}
+        UNION ALL SELECT p.id, depth + 1 FROM {{pages}} p JOIN t ON p.parent_id = t.id) SELECT id, depth FROM t""",
+        pages=pages.select("id", "parent_id"),
     )
 
 
