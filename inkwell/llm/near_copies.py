@@ -10,7 +10,12 @@ changes how many candidates there are, not which pairs are found.
 
 Equal sets are one set. A gram of few sets makes candidates of all its pairs. A gram of many sets makes candidates with
 a few pivots, the sets in which it comes first; sets that the verified links leave in different components are then
-compared in full, chunk by chunk, so no task gathers more than two chunks. All candidates are verified on whole texts.
+compared in full, chunk by chunk, so no task gathers more than two chunks.
+
+Candidates grow faster than the corpus, links hardly do, so no text travels for a pair that cannot be similar. A set has a
+bitmap of a bit or more for each member: bit i is the parity of the members that hash to i. Bitmaps of two sets differ in
+no more bits than there are members in only one of them, so pairs whose bitmaps differ in too many bits are dropped without
+loss. The rest is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ GRAM, SHARE = 5, (4, 5)
 SAMPLE, FREQUENT = 20_000, 10
 #: Sets of a gram that are compared in full at once; pivots of a gram that has more; sets in a chunk of such a gram.
 FEW, PIVOTS, CHUNK = 64, 8, 4096
+#: Bytes of the bitmap that is dealt out with a gram of many sets; longer bitmaps are folded to it.
+SHORT = 64
 #: Rows of two longs that may be broadcast.
 BROADCAST = 200_000
 #: Bits in which fingerprints of the closest texts differ at most.
@@ -63,6 +70,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SHARE[1] >= (len(a) + len(b) - both) * SHARE[0]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of the members by hash: a power of two of bytes, at least SHORT, and at least as many bits as members."""
+    bits = max(8 * SHORT, 1 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps, a row each, as they would be with `size` bytes."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, size), axis=1)
+
+
+def _within(differing: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Whether sets of so many members together can be similar if at least so many are in only one of the two."""
+    return differing * sum(SHARE) <= members * (SHARE[1] - SHARE[0])
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of(batches, "text", 1 << 20):
         sets = sets_of(*text_bytes(batch.column("text")))
@@ -70,7 +94,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(box):
-    """Fingerprint, digest and size of each text's set, and its first members in the order that the sample gives."""
+    """Fingerprint, digest, size and bitmaps of each text's set, and its first members in the order that the sample gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = box.value
@@ -84,16 +108,24 @@ def _sketches(box):
                 first.append(s[np.lexsort((s, weight))[: prefix_length(len(s))]].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(_digests(sets)), "fp": pa.array(majority(h, grams).view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": tokens})
+            bitmaps = [bitmap(s) for s in sets]
+            short = [b if len(b) == SHORT else folded(np.frombuffer(b, np.uint8)[None], SHORT).tobytes() for b in bitmaps]
+            full = [b if len(b) > SHORT else None for b in bitmaps]
+            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(_digests(sets)), "fp": pa.array(majority(h, grams).view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": tokens, "short": pa.array(short, pa.binary()), "full": pa.array(full, pa.binary())})
 
     return run
 
 
+def _column(values: pa.Array) -> np.ndarray:
+    """Short bitmaps as rows of longs, other columns as they are."""
+    return values.to_numpy() if pa.types.is_integer(values.type) else text_bytes(values)[0].reshape(-1, SHORT).view(np.uint64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Rows of one token at a time, from rows sorted by token."""
     held: list[np.ndarray] = []
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in columns]
+        new = [_column(batch.column(c)) for c in columns]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
         edges = np.flatnonzero(np.diff(held[0])) + 1
         if len(edges):
@@ -145,17 +177,32 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in the cells of large groups: all but the largest component against all."""
 
     def pairs():
-        for _, digest, n, pos, root in _groups(batches, ["cell", "digest", "n", "pos", "root"]):
+        for _, digest, n, pos, root, short in _groups(batches, ["cell", "digest", "n", "pos", "root", "short"]):
             _, inverse, sizes = np.unique(root, return_inverse=True, return_counts=True)
             small = inverse != np.argmax(sizes)
             for i in np.flatnonzero(small):
                 b = np.flatnonzero((inverse != inverse[i]) & (~small | (digest > digest[i])))
                 b = b[_able(n, pos, np.full(len(b), i), b)]
+                b = b[_within(np.bitwise_count(short[b] ^ short[i]).sum(axis=1, dtype=np.int64), n[b] + n[i])]
                 yield np.minimum(digest[b], digest[i]), np.maximum(digest[b], digest[i])
 
     return _pair_batches(pairs())
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates whose bitmaps do not rule them out."""
+    for batch in batches:
+        sides = [text_bytes(batch.column(c)) for c in ("ma", "mb")]
+        sizes = np.stack([np.diff(off) for _, off in sides], axis=1)
+        differing = np.zeros(len(sizes), np.int64)
+        for pair in np.unique(sizes, axis=0):
+            at = np.flatnonzero((sizes == pair).all(axis=1))
+            x, y = (folded(data[off[at][:, None] + np.arange(size)], pair.min()) for (data, off), size in zip(sides, pair, strict=True))
+            differing[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        ok = pa.array(_within(differing, batch.column("members").to_numpy()))
+        yield pa.record_batch({"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)})
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     size = 0
@@ -216,17 +263,23 @@ def _groups_of(docs: DataFrame) -> DataFrame:
     docs = docs.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
     box = spark.sparkContext.broadcast(_prefix_order(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInArrow(_sketches(box), f"row long, doc_id {kind}, digest long, fp long, n long, tokens array<long>"), "sketches")
+    sketches = written(docs.mapInArrow(_sketches(box), f"row long, doc_id {kind}, digest long, fp long, n long, tokens array<long>, short binary, full binary"), "sketches")
     low = F.min(F.struct("doc_id", "row")).alias("low")
     values = written(sketches.groupBy("digest").agg(low), "sets")
     # copies have the same members: the one of least id stands for them
     named = values.select("digest", F.col("low.row").alias("row"))
     one = written(sketches.join(named, ["digest", "row"], "left_semi").dropDuplicates(["digest"]), "one")
+    marks = one.select("digest", "n", F.coalesce("full", "short").alias("bitmap"))
     rows = one.select("digest", "n", F.posexplode("tokens").alias("pos", "token"))
+    shorts = one.select("digest", "n", "short", F.posexplode("tokens").alias("pos", "token"))
     large = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > FEW), "large")
 
     def links(candidates: DataFrame) -> DataFrame:
-        pairs = written(candidates.distinct(), "candidates")
+        met = candidates.distinct()
+        for c in ("a", "b"):
+            met = met.join(marks.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}")), c)
+        met = met.select("a", "b", "ma", "mb", (F.col("na") + F.col("nb")).alias("members"))
+        pairs = written(met.mapInArrow(_near, "a long, b long"), "candidates")
         wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
         ids = written(wanted.join(named, "digest").select("digest", "row"), "wanted")
         if ids.count() <= BROADCAST:  # then the texts that are not wanted are not shuffled
@@ -242,9 +295,9 @@ def _groups_of(docs: DataFrame) -> DataFrame:
     found = written(links(first), "similar")
     roots = written(components(found), "roots")
     chunks = F.ceil(F.col("sets") / CHUNK).cast("int")
-    cells = rows.join(large, "token").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    cells = shorts.join(large, "token").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("digest"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    cells = cells.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "digest", "n", "pos", "root")
+    cells = cells.select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "digest", "n", "pos", "root", "short")
     more = written(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_other_pairs, "a long, b long").distinct(), "others")
     if not more.isEmpty():
         roots = written(components(found.unionByName(links(more))), "roots")

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as C
+import numpy as np
 from inkwell.llm import near_copies as N
 
 
@@ -75,3 +76,38 @@ def test_texts_of_one_id_and_repeated_rows(spark):
 
 def test_empty(spark):
     assert N.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_travel_for_pairs_that_can_be_similar(spark, monkeypatch):
+    """Texts that share a passage are candidates of each other; only those that bitmaps leave are verified on texts."""
+    r = random.Random(6)
+    line = [f"line{k}" for k in range(12)]
+    rows = [" ".join([*line, *(f"w{r.randrange(10**6)}" for _ in range(n))]) for n in (60, 90, 700) for _ in range(25)]
+    rows = list(enumerate([*rows, rows[0] + " more", rows[-1] + " more"]))
+    seen = []
+    keep = N.written
+    monkeypatch.setattr(N, "written", lambda df, name: (out := keep(df, name), seen.append((name, out.count())))[0])
+    monkeypatch.setattr(N, "FREQUENT", 1 << 40)
+    want, links = brute(rows)
+    assert links == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in N.near_copy_groups(df).collect()} == want
+    assert sum(n for name, n in seen if name == "candidates") == 2
+    assert sum(n for name, n in seen if name == "candidate_texts") == 4
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 9, 400, 512, 513, 3000, 20000):
+        pool = np.unique(r.integers(0, 1 << 63, 2 * n + 2).astype(np.uint64))
+        pool = r.permutation(pool)
+        for same in {0, n // 2, n * 8 // 9, n * 9 // 10, n}:
+            for more in {0, (n - same) // 2, n - same}:
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:same], pool[n : n + more])))
+                x, y = (np.frombuffer(N.bitmap(s), np.uint8)[None] for s in (a, b))
+                size = min(x.shape[1], y.shape[1])
+                for w in {size, N.SHORT}:
+                    differing = int(np.bitwise_count(N.folded(x, w) ^ N.folded(y, w)).sum())
+                    assert differing <= len(np.setxor1d(a, b))
+                    assert N._within(differing, len(a) + len(b)) or not N.similar(a, b)
+                assert 8 * x.shape[1] >= n
