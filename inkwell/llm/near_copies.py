@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, row_key, ship, text_bytes, written
+from ._common import pieces_of, ship, text_bytes, written
 from .components import components
 from .simhash import majority, near_links, word_grams
 
@@ -256,15 +256,20 @@ def _pivoted(rows: DataFrame, large: DataFrame) -> DataFrame:
     return met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
 
 
+def _row() -> Column:
+    """64-bit key of a row by id and text; a missing id is not the same as a missing text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def _groups_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, digest, and the (doc_id, row) that is least in the row's group."""
+    """row, doc_id, digest, and the (none, doc_id, row) that is least in the row's group; rows without an id come last."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
+    docs = docs.select(_row().alias("row"), "doc_id", "text")
     box = spark.sparkContext.broadcast(_prefix_order(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = written(docs.mapInArrow(_sketches(box), f"row long, doc_id {kind}, digest long, fp long, n long, tokens array<long>, short binary, full binary"), "sketches")
-    low = F.min(F.struct("doc_id", "row")).alias("low")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
     values = written(sketches.groupBy("digest").agg(low), "sets")
     # copies have the same members: the one of least id stands for them
     named = values.select("digest", F.col("low.row").alias("row"))
@@ -309,17 +314,18 @@ def _groups_of(docs: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of similar texts lead to, itself included; once for each id and set.
 
-    docs: doc_id (no nulls), text. Null and blank texts are copies of each other.
+    docs: doc_id, text. Null and blank texts are copies of each other. A null doc_id stays null and names a component
+    only if it has no other id.
     """
     return _groups_of(docs).select("doc_id", "digest", F.col("least.doc_id").alias("component_id")).distinct().select("doc_id", "component_id")
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """The row of docs that has the smallest id in each group of near copies; rows without an id stay.
+    """The row of docs that has the smallest id in each group of near copies; one without an id only if none has one.
 
-    Rows of one id are told apart by their texts, so a text of its own stays whatever its id is. Of rows that agree in
-    id and text one stays.
+    Rows of one id, or of none, are told apart by their texts, so a text of its own stays whatever its id is. Of rows
+    that agree in id and text one stays.
     """
-    kept = _groups_of(docs.where("doc_id is not null")).where("row = least.row").select(F.col("row").alias("__row")).distinct()
-    rows = docs.where("doc_id is not null").withColumn("__row", row_key("doc_id", "text")).join(kept, "__row").dropDuplicates(["__row"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    kept = _groups_of(docs).where("row = least.row").select(F.col("row").alias("__row")).distinct()
+    rows = docs.withColumn("__row", _row()).join(kept, "__row").dropDuplicates(["__row"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

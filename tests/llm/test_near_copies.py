@@ -74,6 +74,15 @@ def test_texts_of_one_id_and_repeated_rows(spark):
     assert sorted((x.doc_id, x.text) for x in kept) == [(0, "g h i j k"), (1, "a b c d e f"), (1, "q r s t u v")]
 
 
+def test_rows_without_an_id_are_copies_too(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " more"), (7, text), (None, "q r s t u v"), (None, "q r s t u v"), (None, "g h i j k"), (8, None), (None, "")]
+    kept = N.keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == [(7, text), (8, None), (None, "g h i j k"), (None, "q r s t u v")]
+    rows = [("k", None), (None, "k")]  # a missing id is not a missing text
+    assert N.keep_one_copy(spark.createDataFrame(rows, "doc_id string, text string")).count() == 2
+
+
 def test_empty(spark):
     assert N.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
