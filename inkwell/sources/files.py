@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_rows
 from ..operators.chunker import BLOCK
-from .formats import SUPPORTED, extract
+from .formats import SUPPORTED, extract, title_of
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 EXTRACTED = f"title string, blocks array<{BLOCK}>, file_type string, warnings array<string>, pages int, needs_ocr boolean, error string"
@@ -49,23 +48,15 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """files (filename, content) with title, blocks, file_type, warnings, pages, needs_ocr; what cannot be read has an error instead."""
-    names = [c for c in files.columns if c != "content"]
-    columns = [c.split(" ")[0] for c in ("title", "blocks", "file_type", "warnings", "pages", "needs_ocr", "error")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            rows = []
-            for name, content in zip(df.filename, df.content, strict=True):
-                try:
-                    rows.append({**extract(bytes(content or b""), name), "error": None})
-                except Exception as e:  # one bad file is a row, not a failed job
-                    rows.append(dict.fromkeys(columns) | {"error": str(e)[:500] or type(e).__name__, "needs_ocr": False})
-            out = df[names].reset_index(drop=True)
-            for c in columns:
-                out[c] = pd.Series([r.get(c) for r in rows], dtype="Int32" if c == "pages" else object)
-            out["needs_ocr"] = out["needs_ocr"].astype(bool)
-            yield out
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInPandas(run, f"{kinds}, {EXTRACTED}")
+    """files (filename, content) with title, blocks, file_type, warnings, pages, needs_ocr; what cannot be read has an error instead of blocks."""
+
+    def one(name: str | None, content: bytes | None) -> dict:
+        try:
+            return extract(content or b"", name)
+        except MemoryError:  # of the machine, not of the file
+            raise
+        except Exception as e:  # one bad file is a row, not a failed job
+            known = name is not None and name.lower().endswith(SUPPORTED)
+            return {"title": title_of(name) if known else None, "file_type": name.rpartition(".")[2].lower() if known else None, "error": str(e)[:500] or type(e).__name__, "needs_ocr": False}
+
+    return map_rows(files, ["filename", "content"], lambda rows: [one(r["filename"], r["content"]) for r in rows], EXTRACTED, [c for c in files.columns if c != "content"])

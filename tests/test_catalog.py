@@ -41,6 +41,17 @@ def test_rows(spark, duck, name):
         assert rows
 
 
+def test_text_files_of_odd_rows(spark, duck, tmp_path):
+    texts = ["", None, "\n \n\n", "one\r\rtwo", "\ufeffown mark", "x\f\fy\n\n\u2003"]
+    rows = [(i, t, lang) for i in (7, -7, None) for t in texts for lang in ("en", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = ORACLE_SQL["text_files"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = duck.execute(sql)
+    columns = [d[0] for d in got.description]
+    want = [dict(zip(columns, r, strict=True)) for r in got.fetchall()]
+    assert plain(QUERIES["text_files"](spark, str(tmp_path)).collect(), columns) == plain(want, columns)
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
