@@ -32,4 +32,4 @@ def map_rows(df: DataFrame, read: list[str], rows: Callable[[list[dict]], list[d
             columns = [pa.array([r.get(f.name) for r in made], f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + columns, names=[*kept, *kinds.names])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, *read])).mapInArrow(run, schema)
