@@ -2,6 +2,7 @@ import sqlite3
 
 import pytest
 
+from inkwell.functions import text as T
 from inkwell.operators import search as S
 
 ROWS = [
@@ -69,3 +70,22 @@ def test_postings(pages):
     got = {r.id: r.score for r in S.search_postings(index, ["cutov", "plan"], n, dl).collect()}
     want = {r.id: r.score for r in S.keyword_search(pages, "cutover plan").collect()}
     assert got == pytest.approx(want)
+
+
+def test_fuzzy_score_is_made_once_a_row(spark):
+    pages = spark.range(3).selectExpr("id", "concat('plan ', id) title", "'the cutover plan' body_text")
+    plan = S.fuzzy_search(pages, "cutover plna", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Filter") < plan.index("ArrowEvalPython")
+
+
+def test_fuzzy_score_is_that_of_sets_and_edits():
+    rows = [("", ""), ("Cutover  plan", "the CUTOVER plna é9"), ("a", "---"), ("cutovr　x", "zz " * 50 + "plna"), ("élan", "ab ab ab")]
+    query = "cutover plna"
+    want = T.trigram_set(query)
+    for title, body in rows:
+        for t in (title, body):
+            own = T.trigram_set(t)
+            assert T.Similarity(query)(t.lower()) == (len(own & want) / len(own | want) if own else 0.0)
+    some = T.Similarity(query)
+    assert [some(b.lower()) for _, b in rows] == [T.Similarity(query)(b.lower()) for _, b in rows]
+    assert [T.edits(a, b, 2) for a, b in (("plan", "plna"), ("plan", "plan"), ("plan", "pl"), ("plan", ""), ("abcd", "wxyz"), ("plan", "plants"))] == [2, 0, 2, 3, 3, 2]
