@@ -89,3 +89,13 @@ def test_fuzzy_score_is_that_of_sets_and_edits():
     some = T.Similarity(query)
     assert [some(b.lower()) for _, b in rows] == [T.Similarity(query)(b.lower()) for _, b in rows]
     assert [T.edits(a, b, 2) for a, b in (("plan", "plna"), ("plan", "plan"), ("plan", "pl"), ("plan", ""), ("abcd", "wxyz"), ("plan", "plants"))] == [2, 0, 2, 3, 3, 2]
+
+
+def test_words_that_are_not_there_keep_pages_from_being_read_twice(spark):
+    texts = ["Alpha beta", "alphabet soup", "beta gamma alpha", "gamma", None, "ALPHA-beta"]
+    pages = spark.createDataFrame([(i, None if i == 3 else "t", t) for i, t in enumerate(texts)], "id long, title string, body_text string")
+    found = lambda q, **more: {r.id for r in S.keyword_search(pages, q, stemmed=False, **more).collect()}
+    assert found("alpha beta") == {0, 2, 5} and found("alpha OR gamma") == {0, 2, 3, 5} and found("alph*") == {0, 1, 2, 5}
+    assert found("alpha NOT gamma") == {0, 5} and found('"alpha beta"') == {0, 5} and found("NEAR(beta alpha, 1)") == {0, 2, 5} and found("soup beta", any_term=True) == {0, 1, 2, 5}
+    plan = S.keyword_search(pages, "alpha beta", stemmed=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(" in plan
