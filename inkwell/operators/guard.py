@@ -10,13 +10,19 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cache
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.arrow import slices
 from ..functions.text import col
 
 PREFIXES = {"org": "CLIENT", "person": "PERSON", "project": "PROJECT", "host": "HOST", "other": "REF"}
@@ -39,14 +45,15 @@ class Rule:
     def label(self) -> str:
         return f"[{PREFIXES[self.kind]}_{self.name.upper().replace('-', '_')}]"
 
-    def hits(self, text: str):
-        for m in _regex(self.pattern, self.any_case).finditer(text):
-            if (not self.only or re.search(self.only, m[0], re.A)) and not (self.never and re.search(self.never, m[0], re.A | re.I if self.name == "legal-entity" else re.A)):
-                yield m.start(), m.end()
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        pattern, only, never = _regexes(self)
+        return [m.span() for m in pattern.finditer(text) if (not only or only.search(m[0])) and not (never and never.search(m[0]))]
 
 
-def _regex(pattern: str, any_case: bool) -> re.Pattern:
-    return re.compile(pattern, re.A | (re.I if any_case else 0))
+@cache
+def _regexes(rule: Rule) -> tuple[re.Pattern, re.Pattern | None, re.Pattern | None]:
+    guard = lambda p, flags=0: re.compile(p, re.A | flags) if p else None
+    return guard(rule.pattern, re.I if rule.any_case else 0), guard(rule.only), guard(rule.never, re.I if rule.name == "legal-entity" else 0)
 
 
 # What the rules match, in the order in which they are tried.
@@ -71,7 +78,7 @@ RULES = (
 
 def detect(text: str) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of every hit, by start; hits of different rules may overlap."""
-    return sorted(((a, b, r) for r in RULES for a, b in r.hits(text)), key=lambda x: x[0])
+    return sorted([(a, b, r) for r in RULES for a, b in r.hits(text)], key=itemgetter(0))
 
 
 def normalise(name: str) -> str:
@@ -308,8 +315,17 @@ def unmask(text: str, registry: Registry, reveal) -> str:
 
 
 def occurrences(docs: DataFrame, matcher: Matcher, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each hit: key, and the fields of OCCURRENCES."""
-    return docs.select(key, F.inline(scan(text, matcher)))
+    """One row for each hit: key, and the fields of OCCURRENCES, as columns from the start: no struct is made of a hit in Arrow."""
+    fields = t.StructType([docs.select(key).schema[0], *t.DataType.fromDDL(OCCURRENCES).elementType.fields])
+    kinds = list(to_arrow_schema(fields))[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [matcher.scan(x) for x in part.column(1).to_pylist()]
+            keys = part.column(0).take(pa.array([i for i, hits in enumerate(found) for _ in hits], pa.int32()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([h[f.name] for hits in found for h in hits], f.type) for f in kinds]], names=fields.names)
+
+    return docs.select(key, text).mapInArrow(run, fields)
 
 
 def replace_occurrences(stored: DataFrame, fresh: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:

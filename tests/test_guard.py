@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,3 +91,25 @@ def test_unmask_and_vault(spark, registry):
     row = stored.first()
     assert len(row.iv) == 24 and len(row.tag) == 32
     assert len(vault.passphrase_key("p", b"s" * 16)) == 32
+
+
+def test_small_rows_are_scanned_by_all_cores(spark):
+    from inkwell.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    plan = catalog.QUERIES["rule_hits"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [c_custkey#" in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression") and "Generate inline" not in plan
+
+
+def test_occurrences_keep_their_keys(spark):
+    m = G.Registry()
+    m.add("Idiot SE")
+    texts = ["an idiot at a@b.com", None, "", "nothing", "10.1.2.3 and idiot"]
+    rows = [(None if i == 4 else i, t) for i, t in enumerate(texts)]
+    got = G.occurrences(spark.createDataFrame(rows, "id long, t string"), m.matcher(), "id", "t")
+    assert sorted((str(r.id), r.layer, r.entity_id, r.rule, r.surface, r.start, r.confidence, r.status) for r in got.collect()) == sorted(
+        (str(i), h["layer"], h["entity_id"], h["rule"], h["surface"], h["start"], h["confidence"], h["status"]) for i, t in rows for h in m.matcher().scan(t)
+    )
+    assert got.schema == spark.createDataFrame([], f"id long, hits {G.OCCURRENCES}").selectExpr("id", "inline(hits)").schema
